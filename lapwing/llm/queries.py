@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import broken_pairs, form_duplicates, leakage, lookalikes, subjects
+from lapwing.llm import broken_pairs, form_duplicates, leakage, lookalikes, names, subjects
 from lapwing.llm.common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variants(names.author_names(table(spark, sf_dir, "registry"), table(spark, sf_dir, "citations_flat")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_pairs.first_defect(broken_pairs.broken_pairs(table(spark, sf_dir, "manuscripts"))).select("doc_id", "defect")
 
@@ -40,7 +44,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
