@@ -5,13 +5,14 @@ a value for a field of a group. From the current truth of every claim follow
 the sources' accuracies and, from the false values two sources share against
 those where they differ, how likely one copies the other; a vote counts less
 the more of it is likely to be copied; the votes give the next truth. What the
-driver sees is a handful of numbers per pair of sources. The surviving record
+driver sees is how many groups show each pattern of agreement among the sources,
+which is all the estimates depend on. The surviving record
 takes, field by field, the value of the highest posterior, and the record kept
 is the one no worse than the others in most respects, then the one agreeing
 with most fused values.
 
 Defined cases: null and blank values are no claims; repeated rows of one record
-count once; groups of one record are left out; ties go to the smaller value and
+count once; groups of one record are left out; ties go to the greater value and
 the smaller record_id.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import written
@@ -40,6 +41,8 @@ class Rules:
     copies: float = 0.2
     copied: float = 0.8
     false_values: int = 10
+    #: Ways in which the sources may agree and differ on a value; their number depends on the sources only.
+    max_patterns: int = 200_000
 
 
 def _present(c: str, kind: str) -> Column:
@@ -54,57 +57,79 @@ def _claims(records: DataFrame) -> DataFrame:
     return records.where("source is not null").select("grp", "source", F.explode(claims).alias("x")).select("grp", "x.field", "x.value", "source").where("value is not null and trim(value) <> ''").distinct()
 
 
-def _votes(claims: DataFrame, accuracy: dict[str, float], copying: dict[tuple[str, str], float], rules: Rules) -> DataFrame:
-    """(grp, field, value, weight, sources, p): posterior p of each claimed value."""
+def _weights(kinds: set[tuple[str, ...]], accuracy: dict[str, float], copying: dict[tuple[str, str], float], rules: Rules) -> dict[tuple[str, ...], float]:
+    """The weight of a value by the sources claiming it: their votes from the most accurate on, each discounted by what it may have copied from those before."""
+    out = {}
+    for kind in kinds:
+        order = sorted(kind, key=lambda s: (-accuracy[s], s))
+        out[kind] = sum(
+            math.log(rules.false_values * accuracy[s] / (1 - accuracy[s])) * math.prod(1 - rules.copied * copying.get((min(s, t), max(s, t)), 0.0) for t in order[:k]) for k, s in enumerate(order)
+        )
+    return out
 
-    def literal(pairs: dict[str, float]) -> Column:
-        return F.create_map(*[F.lit(x) for k, v in pairs.items() for x in (k, v)])
 
-    score = literal({s: math.log(rules.false_values * a / (1 - a)) for s, a in accuracy.items()})
-    depends = literal({f"{a}\t{b}": c for (a, b), c in copying.items()} or {"\t": 0.0})
-    order = literal({s: float(k) for k, s in enumerate(sorted(accuracy, key=lambda s: (-accuracy[s], s)))})
-    grouped = claims.groupBy("grp", "field", "value").agg(F.array_sort(F.transform(F.collect_set("source"), lambda s: F.struct(F.element_at(order, s).alias("o"), s.alias("s")))).alias("sources"))
-    # The votes of a value in the order of the sources' accuracies, each discounted by what it may have copied from those before.
-    independent = F.transform(
-        "sources",
-        lambda x: F.element_at(score, x["s"])
-        * F.aggregate(F.filter("sources", lambda y: y["o"] < x["o"]), F.lit(1.0), lambda acc, z: acc * (1 - rules.copied * F.coalesce(F.try_element_at(depends, F.concat(F.least(x["s"], z["s"]), F.lit("\t"), F.greatest(x["s"], z["s"]))), F.lit(0.0)))),
-    )
-    weighed = grouped.withColumn("weight", F.aggregate(independent, F.lit(0.0), lambda total, vote: total + vote)).withColumn("sources", F.col("sources.s"))
-    total = weighed.groupBy("grp", "field").agg(F.sum(F.exp("weight")).alias("all"), F.count("*").alias("values"))
-    return weighed.join(total, ["grp", "field"]).withColumn("p", F.exp("weight") / (F.col("all") + F.greatest(F.lit(0), rules.false_values + 1 - F.col("values"))))
+def _posteriors(pattern: list[tuple[str, ...]], weight: dict[tuple[str, ...], float], rules: Rules) -> list[float]:
+    """Of each value of a pattern; values in circulation that nobody claims take their part."""
+    most = max(weight[k] for k in pattern)
+    scaled = [math.exp(weight[k] - most) for k in pattern]
+    rest = max(0, rules.false_values + 1 - len(pattern)) * math.exp(-most)
+    return [x / (sum(scaled) + rest) for x in scaled]
+
+
+def learn(patterns: list[tuple[list[tuple[str, ...]], int]], rules: Rules) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """Accuracies of the sources and chances that pairs of them copy, from (claimants of each value, number of groups) of every pattern."""
+    accuracy = {s: rules.accuracy for p, _ in patterns for kind in p for s in kind}
+    copying: dict[tuple[str, str], float] = {}
+    for _ in range(rules.rounds):
+        weight = _weights({k for p, _ in patterns for k in p}, accuracy, copying, rules)
+        right, votes = dict.fromkeys(accuracy, 0.0), dict.fromkeys(accuracy, 0)
+        seen: dict[tuple[str, str], dict[str, float]] = {}
+        for pattern, n in patterns:
+            p = _posteriors(pattern, weight, rules)
+            for x, kind in enumerate(pattern):
+                for s in kind:
+                    right[s] += p[x] * n
+                    votes[s] += n
+                for y, other in enumerate(pattern):
+                    for a in kind:
+                        for b in other:
+                            if a < b:
+                                pair = seen.setdefault((a, b), {"t": 0.0, "f": 0.0, "d": 0.0})
+                                if x != y:
+                                    pair["d"] += n
+                                else:
+                                    pair["t"] += n * p[x]
+                                    pair["f"] += n * (1 - p[x])
+        accuracy = {s: min(0.99, max(0.05, right[s] / votes[s])) for s in accuracy}
+        for (a, b), pair in seen.items():
+            mean, c = (accuracy[a] + accuracy[b]) / 2, rules.copied
+            chance = {"t": mean**2, "f": (1 - mean) ** 2 / rules.false_values}
+            chance["d"] = max(1 - chance["t"] - chance["f"], 1e-6)
+            given = {"t": c * mean + (1 - c) * chance["t"], "f": c * (1 - mean) + (1 - c) * chance["f"], "d": max((1 - c) * chance["d"], 1e-6)}
+            # Evidence of the mean claim, grown by the logarithm of their number only, so that many groups don't turn it into certainty.
+            n = sum(pair.values())
+            evidence = sum(k * math.log(given[x] / chance[x]) for x, k in pair.items()) / max(n, 1) * math.log1p(n)
+            copying[a, b] = 1 / (1 + (1 - rules.copies) / rules.copies * math.exp(-max(-50.0, min(50.0, evidence))))
+    return accuracy, copying
 
 
 def fuse(claims: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
     """Fused (grp, field, value, p), accuracies of the sources and chances that pairs of them copy."""
     rules = rules or Rules()
-    accuracy = {r.source: rules.accuracy for r in claims.select("source").distinct().collect()}
-    copying: dict[tuple[str, str], float] = {}
-    for _ in range(rules.rounds if accuracy else 0):
-        judged = _votes(claims, accuracy, copying, rules)
-        best = F.max("p").over(Window.partitionBy("grp", "field"))
-        judged = written(judged.withColumn("true", F.col("p") >= best))
-        right = judged.select(F.explode("sources").alias("source"), "p").groupBy("source").agg(F.avg("p").alias("a")).collect()
-        accuracy = {r.source: min(0.99, max(0.05, r.a)) for r in right}
-        # Of two sources with claims on one field of a group: do they share the value, and is it taken for true?
-        shared = judged.where("size(sources) > 1").select("true", F.explode(F.expr("flatten(transform(sources, x -> transform(filter(sources, y -> y > x), y -> struct(x AS a, y AS b))))")).alias("s")).groupBy("s.a", "s.b").agg(F.count_if("true").alias("t"), F.count_if(~F.col("true")).alias("f"))
-        differ = judged.groupBy("grp", "field").agg(F.collect_list("sources").alias("by")).where("size(by) > 1")
-        pairs = F.expr("flatten(transform(by, (p, i) -> flatten(transform(filter(by, (q, j) -> j <> i), q -> flatten(transform(p, x -> transform(filter(q, y -> y > x), y -> struct(x AS a, y AS b))))))))")
-        differ = differ.select(F.explode(pairs).alias("s")).groupBy("s.a", "s.b").agg(F.count("*").alias("d"))
-        copying = {}
-        for r in shared.join(differ, ["a", "b"], "full").fillna(0).collect():
-            a = (accuracy[r.a] + accuracy[r.b]) / 2
-            chance = {"t": a * a, "f": (1 - a) ** 2 / rules.false_values}
-            chance["d"] = max(1 - chance["t"] - chance["f"], 1e-6)
-            c = rules.copied
-            given = {"t": c * a + (1 - c) * chance["t"], "f": c * (1 - a) + (1 - c) * chance["f"], "d": max((1 - c) * chance["d"], 1e-6)}
-            # Mean evidence of one shared or different claim, so that the number of groups doesn't turn it into certainty.
-            n = r.t + r.f + r.d
-            evidence = sum(k * math.log(given[x] / chance[x]) for x, k in (("t", r.t), ("f", r.f), ("d", r.d))) / max(n, 1) * math.log1p(n)
-            copying[r.a, r.b] = 1 / (1 + (1 - rules.copies) / rules.copies * math.exp(-max(-50.0, min(50.0, evidence))))
-    final = _votes(claims, accuracy, copying, rules) if accuracy else claims.selectExpr("grp", "field", "value", "1.0D as p")
-    fused = final.groupBy("grp", "field").agg(F.max_by(F.struct("value", "p"), F.struct(F.col("p"), F.expr("-crc32(encode(value, 'utf-8'))"))).alias("x"))
-    return fused.select("grp", "field", "x.value", "x.p"), accuracy, copying
+    spark = claims.sparkSession
+    grouped = written(claims.groupBy("grp", "field", "value").agg(F.array_join(F.array_sort(F.collect_set("source")), "\t").alias("kind")))
+    patterns = grouped.groupBy("grp", "field").agg(F.array_join(F.array_sort(F.collect_list("kind")), "\n").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    rows = patterns.limit(rules.max_patterns + 1).collect()
+    if len(rows) > rules.max_patterns:
+        raise ValueError("the sources form more patterns of agreement than Rules.max_patterns")
+    told = sorted(([tuple(k.split("\t")) for k in r.pattern.split("\n")], r.n) for r in rows)
+    accuracy, copying = learn(told, rules)
+    weight = _weights({k for p, _ in told for k in p}, accuracy, copying, rules)
+    table = spark.createDataFrame([("\t".join(k), w) for k, w in sorted(weight.items())] or [("", 0.0)], "kind string, weight double")
+    voted = grouped.join(F.broadcast(table), "kind")
+    unclaimed = F.greatest(F.lit(0), rules.false_values + 1 - F.count("*"))
+    fused = voted.groupBy("grp", "field").agg(F.max_by("value", F.struct("weight", "value")).alias("value"), (F.exp(F.max("weight")) / (F.sum(F.exp("weight")) + unclaimed)).alias("p"))
+    return fused, accuracy, copying
 
 
 def representatives(registry: DataFrame, rules: Rules | None = None) -> DataFrame:

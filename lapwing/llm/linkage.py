@@ -2,8 +2,8 @@
 
 Titles are brought to a comparable form and compared once per distinct form.
 Sorted neighbourhood: the forms are sorted by several composite keys (title as
-it stands, rarest words first, words from the end, authors and year), each sort
-is range-partitioned, and a window slides over it, also across partition
+it stands, rare words before common ones, words from the end, authors and year), the sort is
+range-partitioned, and a window slides over it, also across partition
 borders. A bit signature of the words drops hopeless pairs in bulk, the others
 get weighted similarities of title, authors and year. Registry records become
 works through shared identifiers, equal forms and such pairs. Entries without
@@ -18,10 +18,12 @@ neither speak for nor against a match; repeated rows count once.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +63,12 @@ _FROM, _TO = _tables()
 
 def plain(c: Column) -> Column:
     """Lower case without accents, look-alikes and invisible characters."""
+    ascii_only = F.lower(c)
+    written_as = c
     c = F.translate(F.lower(c), _FROM, _TO)
     for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return F.when(written_as.rlike(r"[^\x00-\x7F]"), c).otherwise(ascii_only)
 
 
 def title_form(c: Column) -> Column:
@@ -90,6 +94,11 @@ def arxiv_form(c: Column) -> Column:
     return F.when(core != "", core)
 
 
+def year_form(c: Column) -> Column:
+    """A year of four digits, 0 if missing."""
+    return F.coalesce(F.when(c.between(1000, 2999), c.cast("int")), F.lit(0))
+
+
 def part_of(form: str) -> tuple[str, str]:
     """Title without its part number, and that number ('' if none)."""
     words = form.split()
@@ -182,35 +191,38 @@ def confidence(a: tuple, b: tuple) -> float:
 _COLUMNS = ["side", "form", "authors", "low", "high"]
 
 
-def _signatures(forms: list[str]) -> np.ndarray:
-    """128 bits of the words of each form, two words of 64."""
+def _signatures(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words of each form in two words of 64, and the number of words."""
     out = np.zeros((len(forms), 2), np.uint64)
     seen: dict[str, tuple[int, np.uint64]] = {}
+    size = np.zeros(len(forms), np.int64)
     for k, form in enumerate(forms):
-        for w in form.split():
+        words = form.split(" ")
+        size[k] = len(words)
+        for w in words:
             bit = seen.get(w)
             if bit is None:
-                h = sum(ord(c) * 31**i for i, c in enumerate(w)) * 2654435761 >> 7
+                h = zlib.crc32(w.encode())
                 bit = seen[w] = (h & 1, np.uint64(1) << np.uint64(h >> 1 & 63))
             out[k, bit[0]] |= bit[1]
-    return out
+    return out, size
 
 
-def _window_pairs(rows: pd.DataFrame, first: int, by_author: bool, cross: bool) -> list[tuple]:
-    """Confident pairs of rows within the window, whose later row is `first` or behind; cross: entries against records only."""
+def _window_pairs(rows: pd.DataFrame, first: int, cross: bool) -> list[tuple]:
+    """Confident pairs of rows of one sort key within the window, whose later row is `first` or behind; cross: entries against records only."""
     n = len(rows)
     forms, authors = rows["form"].tolist(), rows["authors"].tolist()
-    low, high, side = rows["low"].tolist(), rows["high"].tolist(), rows["side"].to_numpy()
-    bits = _signatures(forms)
-    size = np.bitwise_count(bits).sum(axis=1)
+    low, high = rows["low"].tolist(), rows["high"].tolist()
+    side, sort = rows["side"].to_numpy(), rows["sort"].to_numpy()
+    bits, words = _signatures(forms)
+    size = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     out = []
-    for d in range(1, WINDOW + 1):
-        if n <= d:
-            break
-        both = np.bitwise_count(bits[:-d] & bits[d:]).sum(axis=1)
-        ok = both >= np.maximum(1, 0.5 * np.minimum(size[:-d], size[d:]))
-        if not by_author:
-            ok &= both + 3 >= 0.5 * np.minimum(size[:-d], size[d:])
+    for d in range(1, min(WINDOW, n - 1) + 1):
+        both = np.bitwise_count(bits[:-d] & bits[d:]).sum(axis=1).astype(np.int64)
+        less, more = np.minimum(size[:-d], size[d:]), np.maximum(size[:-d], size[d:])
+        # Whole titles differ in a third of their words at most, misspelt all of them; a cut one has all words but one in the other.
+        ok = np.where(np.abs(words[:-d] - words[d:]) <= 2, both >= more - np.minimum(np.maximum(2, (more + 1) // 3), 3), both >= less - 1)
+        ok &= sort[:-d] == sort[d:]
         if cross:
             ok &= side[:-d] != side[d:]
         ok[: max(first - d, 0)] = False
@@ -224,80 +236,74 @@ def _window_pairs(rows: pd.DataFrame, first: int, by_author: bool, cross: bool)
 
 
 _PAIRS = "form_a string, form_b string, authors_a string, year_a int, confidence double"
+_PAIR_COLUMNS = ["form_a", "form_b", "authors_a", "year_a", "confidence"]
 
 
-def sorted_neighbourhood(forms: DataFrame, cross: bool) -> DataFrame:
+def sorted_neighbourhood(forms: DataFrame, cross: bool, common_share: float = 0.001) -> DataFrame:
     """Confident pairs among forms(side, form, authors, low, high), with the authors and year of the first.
 
-    cross: only pairs of side 0 (entries) with side 1 (records).
+    cross: only pairs of side 0 (entries) with side 1 (records). Words in more
+    than common_share of the forms - by that share a few thousand at most - come
+    behind the others in the second sort key.
     """
     spark = forms.sparkSession
-    words = F.split("form", " ")
-    listed = forms.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").count()
-    ranked = forms.select("form").distinct().select("form", F.posexplode(F.split("form", " ")).alias("at", "word")).join(listed, "word")
-    rare = ranked.groupBy("form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("count", "word"))), lambda x: x["word"]), " ").alias("rare"))
-    rows = written(forms.join(rare, "form").select(*_COLUMNS, "rare"))
+    rows = written(forms.select(*_COLUMNS))
     total = rows.count()
-    n = max(1, min(partitions(spark), total // (40 * WINDOW)))
-    keys = {
-        "title": F.concat_ws(" ", "form", F.lit("\t"), "authors"),
-        "rare": F.concat_ws(" ", "rare", F.lit("\t"), "authors"),
-        "end": F.concat_ws(" ", F.array_join(F.reverse(words), " "), F.lit("\t"), "authors"),
-        "authors": F.concat_ws(" ", "authors", F.lit("\t"), F.col("low").cast("string"), "form"),
-    }
-
-    def scan_with(by_author: bool):
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            tail: pd.DataFrame | None = None
-            empty = {"form_a": None, "form_b": None, "authors_a": None, "year_a": 0, "confidence": 0.0}
-            started = False
-            for b in batches:
-                b = b[_COLUMNS]
-                if not len(b):
-                    continue
-                if not started:
-                    started = True
-                    yield b.head(WINDOW).astype({"side": int}).assign(border=part - 1, at=np.arange(min(len(b), WINDOW)) + WINDOW, **empty)
-                rows = b if tail is None else pd.concat([tail, b], ignore_index=True)
-                pairs = _window_pairs(rows, 0 if tail is None else len(tail), by_author, cross)
-                if pairs:
-                    found = pd.DataFrame(pairs, columns=["form_a", "form_b", "authors_a", "year_a", "confidence"])
-                    yield found.assign(border=-9, at=0, side=0, form=None, authors=None, low=0, high=0)
-                tail = rows.tail(WINDOW).reset_index(drop=True)
-            if tail is not None:
-                yield tail.assign(border=part, at=np.arange(len(tail)), **empty)
-
-        def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for out in scan(batches):
-                yield pd.DataFrame({c: out[c].astype(object) for c in ["border", "at", *_COLUMNS, "form_a", "form_b", "authors_a", "year_a", "confidence"]})
-
-        return ordered
-
-    def across(by_author: bool):
-        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("at", kind="stable").reset_index(drop=True)
-            before = int((pdf["at"] < WINDOW).sum())
-            if not before or before == len(pdf):
-                return pd.DataFrame([], columns=["form_a", "form_b", "authors_a", "year_a", "confidence"])
-            # Pairs with both rows behind the border were found there already; finding some again does no harm.
-            return pd.DataFrame(_window_pairs(pdf[_COLUMNS], before, by_author, cross), columns=["form_a", "form_b", "authors_a", "year_a", "confidence"])
-
-        return meet
-
-    found = None
-    for name, key in keys.items():
-        own = rows.where("authors <> ''") if name == "authors" else rows
-        placed = own.withColumn("key", key).repartitionByRange(n, "key").sortWithinPartitions("key", "side").drop("key", "rare")
-        out = written(placed.mapInPandas(scan_with(name == "authors"), f"border int, at int, side int, form string, authors string, low int, high int, {_PAIRS}"))
-        pairs = out.where("border = -9").select("form_a", "form_b", "authors_a", "year_a", "confidence")
-        if n > 1:
-            borders = out.where("border > -9").select("border", "at", *_COLUMNS).groupBy("border").applyInPandas(across(name == "authors"), _PAIRS)
-            pairs = pairs.unionByName(borders)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.groupBy("form_a", "form_b", "authors_a", "year_a").agg(F.max("confidence").alias("confidence"))
+    listed = rows.select(F.explode(F.split("form", " ")).alias("word")).groupBy("word").count()
+    common = spark.sparkContext.broadcast(frozenset(r.word for r in listed.where(F.col("count") > common_share * total + 3).select("word").collect()))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = common.value
+        for b in batches:
+            keys: list[list[str]] = [[], [], [], []]
+            for form, authors, low in zip(b["form"], b["authors"], b["low"], strict=True):
+                words = form.split(" ")
+                keys[0].append(" ".join([*[w for w in words if w not in frequent], "\t", *[w for w in words if w in frequent]]))
+                keys[1].append(" ".join(words[::-1]))
+                keys[3].append(form)
+                keys[2].append(f"{authors}\t{low}\t{form}" if authors else "")
+            for sort, own in enumerate(keys):
+                out = b.assign(sort=np.int32(sort), key=own)
+                yield out[out["key"] != ""] if sort == 2 else out
+
+    sides = "side int, form string, authors string, low int, high int, sort int"
+    n = max(1, min(partitions(spark), 4 * total // (40 * WINDOW)))
+    placed = rows.mapInPandas(keyed, sides + ", key string").repartitionByRange(n, "sort", "key").sortWithinPartitions("sort", "key", "side").drop("key")
+    columns = [*_COLUMNS, "sort"]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        tail: pd.DataFrame | None = None
+
+        def out(frame: pd.DataFrame, **fixed) -> pd.DataFrame:
+            frame = frame.assign(**fixed)
+            return pd.DataFrame({c: frame[c].astype(object) if c in frame else None for c in ["border", "at", *columns, *_PAIR_COLUMNS]})
+
+        for b in batches:
+            if not len(b):
+                continue
+            if tail is None:
+                yield out(b.head(WINDOW), border=part - 1, at=np.arange(min(len(b), WINDOW)) + WINDOW)
+            rows = b if tail is None else pd.concat([tail, b], ignore_index=True)
+            pairs = _window_pairs(rows, 0 if tail is None else len(tail), cross)
+            if pairs:
+                yield out(pd.DataFrame(pairs, columns=_PAIR_COLUMNS), border=-9, at=0)
+            tail = rows.tail(WINDOW).reset_index(drop=True)
+        if tail is not None:
+            yield out(tail, border=part, at=np.arange(len(tail)))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at", kind="stable").reset_index(drop=True)
+        before = int((pdf["at"] < WINDOW).sum())
+        # Pairs behind the border were found there already; finding some again does no harm.
+        pairs = _window_pairs(pdf[columns], before, cross) if 0 < before < len(pdf) else []
+        return pd.DataFrame(pairs, columns=_PAIR_COLUMNS)
+
+    found = written(placed.mapInPandas(scan, f"border int, at int, {sides}, {_PAIRS}"))
+    pairs = found.where("border = -9").select(*_PAIR_COLUMNS)
+    if n > 1:
+        pairs = pairs.unionByName(found.where("border > -9").select("border", "at", *columns).groupBy("border").applyInPandas(meet, _PAIRS))
+    return pairs.groupBy("form_a", "form_b", "authors_a", "year_a").agg(F.max("confidence").alias("confidence"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,9 +325,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def comparable(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, form, authors, year) of rows with a title, one row per id."""
-    year = F.when(F.col("year").between(1000, 2999), F.col("year").cast("int"))
-    return df.select(F.col(id_col).alias("id"), title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), F.coalesce(year, F.lit(0)).alias("year")).where("form is not null")
+    """(id, form, authors, year) of rows with a title."""
+    return df.select(F.col(id_col).alias("id"), title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year")).where("form is not null")
 
 
 def _spans(rows: DataFrame, side: int) -> DataFrame:
@@ -331,21 +336,23 @@ def _spans(rows: DataFrame, side: int) -> DataFrame:
 
 
 def works(registry: DataFrame) -> DataFrame:
-    """(record_id, form, authors, year, work): records of one work share `work`."""
-    rows = written(comparable(registry, "record_id").withColumnRenamed("id", "record_id").join(
-        registry.select("record_id", doi_form(F.col("doi")).alias("doi"), arxiv_form(F.col("arxiv_id")).alias("arxiv")), "record_id", "left").distinct())
+    """(record_id, form, authors, year, work): records of one work share `work`; repeated rows stay."""
     # A short title names a work only together with its authors.
     short = F.size(F.split("form", " ")) < WHOLE_WORDS
-    title = F.xxhash64(F.lit("t"), "form", F.when(short, F.col("authors")).otherwise(F.lit("")))
-    keyed = rows.withColumn("t", title)
+    own = registry.select("record_id", title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year"), doi_form(F.col("doi")).alias("doi"), arxiv_form(F.col("arxiv_id")).alias("arxiv")).where("form is not null")
+    rows = written(own.withColumn("t", F.xxhash64("form", F.when(short, F.col("authors")).otherwise(F.lit("")))))
     pairs = sorted_neighbourhood(_spans(rows, 1), cross=False)
-    by_form = keyed.select("form", "t").distinct()
+    by_form = rows.select("form", "t").distinct()
     close = pairs.select("form_a", "form_b").join(by_form.withColumnsRenamed({"form": "form_a", "t": "a"}), "form_a").join(by_form.withColumnsRenamed({"form": "form_b", "t": "b"}), "form_b").select("a", "b")
-    ids = keyed.select(F.col("t").alias("a"), F.explode(F.array_compact(F.array(F.when(F.col("doi").isNotNull(), F.xxhash64(F.lit("d"), "doi")), F.when(F.col("arxiv").isNotNull(), F.xxhash64(F.lit("x"), "arxiv")), F.col("t")))).alias("b"))
-    # Records of one short title are of one work if they share an author's name.
-    shared = keyed.where(short).select(F.col("t").alias("a"), "form", F.explode(F.split("authors", " ")).alias("name")).where("length(name) >= 5").select("a", F.xxhash64(F.lit("s"), "form", "name").alias("b"))
-    roots = components(ids.unionByName(close).unionByName(shared).distinct())
-    return keyed.join(roots, keyed["t"] == roots["v"], "left").select("record_id", "form", "authors", "year", F.coalesce("root", "t").alias("work"))
+    # What shares an identifier, or a short title and an author's name, is tied to the smallest title key of its kind: a star, never all pairs.
+    edges = close
+    for key in ("doi", "arxiv"):
+        held = rows.where(F.col(key).isNotNull()).select(key, F.col("t").alias("b")).distinct()
+        edges = edges.unionByName(held.join(held.groupBy(key).agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), key).select("a", "b"))
+    named = rows.where(short).select("form", F.col("t").alias("b"), F.explode(F.split("authors", " ")).alias("name")).where("length(name) >= 5").distinct()
+    edges = edges.unionByName(named.join(named.groupBy("form", "name").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), ["form", "name"]).select("a", "b"))
+    roots = components(edges)
+    return rows.join(roots.withColumnRenamed("v", "t"), "t", "left").select("record_id", "form", "authors", "year", F.coalesce("root", "t").alias("work"))
 
 
 def matches(citations: DataFrame, registry: DataFrame) -> DataFrame:
