@@ -20,6 +20,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,8 +74,7 @@ def plain(c: Column) -> Column:
 
 def title_form(c: Column) -> Column:
     """Words of a title, one blank between them; null if there are none."""
-    form = F.trim(F.regexp_replace(plain(c), r"[^\p{L}\p{N}]+", " "))
-    return F.when(form != "", form)
+    return F.nullif(F.trim(F.regexp_replace(plain(c), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
 
 
 def author_words(c: Column) -> Column:
@@ -85,13 +85,11 @@ def author_words(c: Column) -> Column:
 
 def doi_form(c: Column) -> Column:
     low = F.lower(F.regexp_replace(c, r"\s+", ""))
-    core = F.regexp_replace(F.regexp_extract(low, r"(10\..*)$", 1), r"[.,;)\]]+$", "")
-    return F.when(core != "", core)
+    return F.nullif(F.regexp_replace(F.regexp_extract(low, r"(10\..*)$", 1), r"[.,;)\]]+$", ""), F.lit(""))
 
 
 def arxiv_form(c: Column) -> Column:
-    core = F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^arxiv\s*:\s*", ""), r"v\d+$", "")
-    return F.when(core != "", core)
+    return F.nullif(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"^arxiv\s*:\s*", ""), r"v\d+$", ""), F.lit(""))
 
 
 def year_form(c: Column) -> Column:
@@ -99,6 +97,7 @@ def year_form(c: Column) -> Column:
     return F.coalesce(F.when(c.between(1000, 2999), c.cast("int")), F.lit(0))
 
 
+@lru_cache(maxsize=1 << 16)
 def part_of(form: str) -> tuple[str, str]:
     """Title without its part number, and that number ('' if none)."""
     words = form.split()
@@ -325,8 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def comparable(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, form, authors, year) of rows with a title."""
-    return df.select(F.col(id_col).alias("id"), title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year")).where("form is not null")
+    """(id, form, authors, year) of rows; form is null without a title."""
+    return df.select(F.col(id_col).alias("id"), title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year"))
 
 
 def _spans(rows: DataFrame, side: int) -> DataFrame:
@@ -339,8 +338,9 @@ def works(registry: DataFrame) -> DataFrame:
     """(record_id, form, authors, year, work): records of one work share `work`; repeated rows stay."""
     # A short title names a work only together with its authors.
     short = F.size(F.split("form", " ")) < WHOLE_WORDS
-    own = registry.select("record_id", title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year"), doi_form(F.col("doi")).alias("doi"), arxiv_form(F.col("arxiv_id")).alias("arxiv")).where("form is not null")
-    rows = written(own.withColumn("t", F.xxhash64("form", F.when(short, F.col("authors")).otherwise(F.lit("")))))
+    own = registry.select("record_id", title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year"), doi_form(F.col("doi")).alias("doi"), arxiv_form(F.col("arxiv_id")).alias("arxiv"))
+    # Written before anything refers to the forms, or each reference would compute them again.
+    rows = written(own).where("form is not null").withColumn("t", F.xxhash64("form", F.when(short, F.col("authors")).otherwise(F.lit(""))))
     pairs = sorted_neighbourhood(_spans(rows, 1), cross=False)
     by_form = rows.select("form", "t").distinct()
     close = pairs.select("form_a", "form_b").join(by_form.withColumnsRenamed({"form": "form_a", "t": "a"}), "form_a").join(by_form.withColumnsRenamed({"form": "form_b", "t": "b"}), "form_b").select("a", "b")
@@ -359,7 +359,7 @@ def matches(citations: DataFrame, registry: DataFrame) -> DataFrame:
     """(citation_id, record_id, confidence) of entries with a title and without identifiers, and all records of the work they cite."""
     records = written(works(registry))
     bare = citations.where((F.trim(F.coalesce("doi", F.lit(""))) == "") & (F.trim(F.coalesce("arxiv_id", F.lit(""))) == ""))
-    entries = written(comparable(bare, "citation_id").distinct())
+    entries = written(comparable(bare, "citation_id")).where("form is not null").distinct()
     nodes = entries.select("form", "authors", "year").distinct()
     real = F.when(F.col("year") > 0, F.col("year"))
     held = written(
