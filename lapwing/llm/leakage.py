@@ -57,12 +57,39 @@ class Rules:
     stock_share: float = 0.03
     passage: int = 32
     step: int = 16
-    block: int = 16
+    block: int = 64
     k1: float = 1.2
     b: float = 0.3
     max_items: int = 20_000
 
 
+class _Reader(dict):
+    """Number of a word, or of the telling word it misspells; `none` if it is neither."""
+
+    def __init__(self, terms: dict[str, int], telling: list[str]):
+        super().__init__(terms)
+        self.terms, self.none = terms, len(terms)
+        self.near: dict[str, list[str]] = defaultdict(list)
+        for w in telling:
+            for v in {w, *(w[:x] + w[x + 1 :] for x in range(len(w)))}:
+                self.near[v].append(w)
+
+    def __missing__(self, word: str) -> int:
+        found = self.none
+        if 4 < len(word) < 40:
+            for v in (word, *(word[:x] + word[x + 1 :] for x in range(len(word)))):
+                if v in self.near:
+                    hit = next((w for w in self.near[v] if close(w, word)), None)
+                    if hit is not None:
+                        found = self.terms[hit]
+                        break
+        if len(self) > 2_000_000:  # it only remembers; what is forgotten is found again
+            self.clear()
+            self.update(self.terms)
+        self[word] = found
+        return found
+
+
 @dataclass
 class Index:
     rules: Rules
@@ -87,14 +114,32 @@ class Index:
                 self.impact[self.terms[w], k] = idf[w] * tf * (r.k1 + 1) / (tf + norm)
         self.blockmax = self.impact.reshape(len(self.terms) + 1, blocks, r.block).max(axis=2) if blocks else np.zeros((1, 0), np.float32)
         self.termmax = self.blockmax.max(axis=1) if blocks else np.zeros(1, np.float32)
+        # Words of one or two items alone give an item away; a misspelling of one counts as the word.
+        marks = {w for w, d in self.df.items() if d <= 2 and len(w) > 4}
+        self.marks = np.zeros_like(self.impact)
+        for k, i in enumerate(self.ids):
+            for w in marks.intersection(self.items[i]):
+                self.marks[self.terms[w], k] = 1
+        self.read = _Reader(self.terms, sorted(marks))
+        self.marked = np.array([*(w in marks for w in self.terms), False])
+        rare = [np.array([w in marks for w in self.items[i]]) for i in self.ids]
+        # A run without a telling word must be there but for one word, so a passage without one must bring that much.
+        self.bare_least = np.full(blocks * r.block, np.inf, np.float32)
+        for k, i in enumerate(self.ids):
+            own = np.array([self.impact[self.terms[x], k] for x in self.items[i]])
+            for s in np.flatnonzero(np.convolve(rare[k], np.ones(r.run), "valid") == 0).tolist():
+                self.bare_least[k] = min(self.bare_least[k], own[s : s + r.run].sum() - own[s : s + r.run].max())
+        self.unmarked = np.isfinite(self.bare_least)
         # Each run of `run` item words lies whole within some passage; it must bring `weight` of the lightest run's score.
         least = []
         for k, i in enumerate(self.ids):
             own = np.array([self.impact[self.terms[x], k] for x in self.items[i]])
             sums = np.convolve(own, np.ones(r.run), "valid")
-            least.append(r.weight * sums.min())
+            least.append(r.weight * sums.min())  # the floor of what any true run brings
         self.threshold = np.array(least, np.float32)
         self.blockmin = np.pad(self.threshold, (0, blocks * r.block - n), constant_values=np.inf).reshape(blocks, r.block).min(axis=1) if blocks else np.zeros(0)
+        self.bare = self.impact[:, self.unmarked].max(axis=1, initial=0)
+        self.bare_floor = float(self.bare_least.min(initial=np.inf))
         self.floor = float(self.threshold.min()) if n else math.inf
 
     def _without_stock(self, items: dict[int, list[str]]) -> dict[int, list[str]]:
@@ -112,32 +157,42 @@ class Index:
 
     def candidates(self, docs: list[list[str]]) -> dict[int, dict[int, list[int]]]:
         """By document, the items at or above the threshold with the starts of the passages where they are."""
-        r, lookup, none = self.rules, self.terms.get, len(self.terms)
+        r, none = self.rules, len(self.terms)
         found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         rows: list[np.ndarray] = []
         owner: list[tuple[int, int]] = []
         for d, words in enumerate(docs):
-            ids = np.fromiter((lookup(w, none) for w in words), np.int32, len(words))
+            ids = np.fromiter(map(self.read.__getitem__, words), np.int32, len(words))
+            starts = np.arange(0, max(1, len(words) - r.passage + r.step), r.step)
+            ends = np.minimum(starts + r.passage, len(words))
+            told = np.concatenate([[0], np.cumsum(self.marked[ids])])
             upper = np.concatenate([[0], np.cumsum(self.termmax[ids])])
-            for s in range(0, max(1, len(words) - r.passage + r.step), r.step):
-                e = min(s + r.passage, len(words))
-                if upper[e] - upper[s] >= self.floor:
-                    row = np.unique(ids[s:e])
-                    row = row[row != none]
-                    if self.termmax[row].sum() >= self.floor:
-                        rows.append(row)
-                        owner.append((d, s))
+            bare = np.concatenate([[0], np.cumsum(self.bare[ids])])
+            may = (upper[ends] - upper[starts] >= self.floor) & (told[ends] > told[starts]) | (bare[ends] - bare[starts] >= self.bare_floor)
+            for s in starts[may].tolist():
+                row = np.unique(ids[s : s + r.passage])
+                if row[-1] == none:
+                    row = row[:-1]
+                if self.termmax[row].sum() >= self.floor:
+                    rows.append(row)
+                    owner.append((d, s))
         for at in range(0, len(rows), 4096):
             part = rows[at : at + 4096]
-            starts = np.cumsum([0, *map(len, part[:-1])])
+            sizes = np.array([len(x) for x in part])
             flat = np.concatenate(part)
-            bounds = np.add.reduceat(self.blockmax[flat], starts, axis=0)
-            ps, bs = np.nonzero(bounds >= self.blockmin[None, :])
-            for p, b in zip(ps.tolist(), bs.tolist(), strict=True):
-                lo = b * r.block
-                score = self.impact[part[p], lo : lo + r.block].sum(axis=0)
-                for k in np.flatnonzero(score[: len(self.ids) - lo] >= self.threshold[lo : lo + r.block]).tolist():
-                    d, s = owner[at + p]
+            bounds = np.add.reduceat(self.blockmax[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+            for b in range(self.blockmax.shape[1]):
+                ps = np.flatnonzero(bounds[:, b] >= self.blockmin[b])
+                if not len(ps):
+                    continue
+                lo, hi = b * r.block, (b + 1) * r.block
+                own = np.concatenate([part[p] for p in ps.tolist()])
+                starts = np.r_[0, np.cumsum(sizes[ps])[:-1]]
+                score = np.add.reduceat(self.impact[own, lo:hi], starts, axis=0)
+                told = np.add.reduceat(self.marks[own, lo:hi], starts, axis=0) > 0
+                limit = np.pad(self.threshold[lo:hi], (0, hi - lo - len(self.threshold[lo:hi])), constant_values=np.inf)
+                for x, k in zip(*(v.tolist() for v in np.nonzero((score >= limit) & (told | (score >= self.bare_least[lo:hi])))), strict=True):
+                    d, s = owner[at + int(ps[x])]
                     found[d][lo + k].append(s)
         return found
 
