@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import written
-from lapwing.llm.linkage import doi_form, works
+from lapwing.llm.linkage import works
 
 #: Manifestations from best to least.
 MANIFESTATIONS = ("journal", "conference", "preprint", "arxiv", "unknown")
@@ -50,11 +50,9 @@ def _present(c: str, kind: str) -> Column:
 
 
 def _claims(records: DataFrame) -> DataFrame:
-    """(grp, field, value, source): each source's claims, one a value."""
-    manifestation = F.lower(F.trim("manifestation"))
-    values = {"manifestation": F.when(manifestation != "unknown", manifestation), "doi": doi_form(F.col("doi")), "venue": F.lower(F.regexp_replace(F.trim("venue"), r"[\s\p{P}]+", " "))}
-    claims = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items()])
-    return records.where("source is not null").select("grp", "source", F.explode(claims).alias("x")).select("grp", "x.field", "x.value", "source").where("value is not null and trim(value) <> ''").distinct()
+    """(grp, field, value, source) of the claims that the sources make."""
+    claims = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS[1:]])
+    return records.where("source is not null").select("grp", "source", F.explode(claims).alias("x")).select("grp", "x.field", "x.value", "source").where("value is not null")
 
 
 def _weights(kinds: set[tuple[str, ...]], accuracy: dict[str, float], copying: dict[tuple[str, str], float], rules: Rules) -> dict[tuple[str, ...], float]:
@@ -142,19 +140,19 @@ def representatives(registry: DataFrame, rules: Rules | None = None) -> DataFram
     kinds = dict(registry.dtypes)
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, m in enumerate(MANIFESTATIONS) for x in (m, k)]), F.lower(F.trim("manifestation"))), F.lit(len(MANIFESTATIONS) - 1))
     mask = sum((F.when(_present(c, kinds[c]), F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(COMPLETE)), F.lit(0))
-    grouped = works(registry).select("record_id", "work").distinct()
-    one = registry.select("record_id", "source", "manifestation", "doi", "venue", "retrieved_at", rank.alias("rank"), mask.alias("mask")).dropDuplicates(["record_id"])
-    rows = one.join(grouped, "record_id")
-    bounds = rows.groupBy("work").agg(F.min("record_id").alias("grp"), F.count("*").alias("n"), F.expr("bit_or(mask)").alias("every"), F.max("retrieved_at").alias("latest"), F.min("rank").alias("top")).where("n > 1")
+    manifestation = F.nullif(F.lower(F.trim("manifestation")), F.lit("unknown"))
+    venue = F.nullif(F.trim(F.lower(F.regexp_replace("venue", r"[\s\p{P}]+", " "))), F.lit(""))
+    rows = written(works(registry, {"source": F.col("source"), "manifestation": manifestation, "venue": venue, "retrieved_at": F.col("retrieved_at"), "rank": rank, "mask": mask}).drop("form", "authors", "year"))
+    bounds = rows.groupBy("work").agg(F.min("record_id").alias("grp"), F.max("record_id").alias("other"), F.expr("bit_or(mask)").alias("every"), F.max("retrieved_at").alias("latest"), F.min("rank").alias("top")).where("grp < other").drop("other")
     records = written(rows.join(bounds, "work").drop("work"))
-    claims = written(_claims(records))
-    fused = written(fuse(claims, rules)[0])
+    fused = fuse(_claims(records), rules)[0]
     wide = fused.groupBy("grp").agg(*[F.max(F.when(F.col("field") == f, F.col(c))).alias(f"{f}{x}") for f in FIELDS[1:] for c, x in (("value", "_fused"), ("p", "_p"))])
-    agree = sum((F.when(a == b, F.coalesce(F.col(p), F.lit(0.0))).otherwise(F.lit(0.0)) for a, b, p in ((F.lower(F.trim("manifestation")), F.col("manifestation_fused"), "manifestation_p"), (doi_form(F.col("doi")), F.col("doi_fused"), "doi_p"))), F.lit(0.0))
+    agree = sum((F.when(F.col(f) == F.col(f"{f}_fused"), F.col(f"{f}_p")).otherwise(F.lit(0.0)) for f in FIELDS[1:]), F.lit(0.0))
     sound = [F.col("mask") == F.col("every"), F.col("retrieved_at").eqNullSafe(F.col("latest")), F.col("rank") == F.col("top")]
     scored = records.join(wide, "grp", "left").withColumns({"respects": sum((s.cast("int") for s in sound), F.lit(0)), "agree": agree})
+    whole = F.when(F.col("respects") == 3, F.col("record_id"))
     best = scored.groupBy("grp").agg(
         F.max_by(F.struct("record_id", "source", *[f"{f}{x}" for f in FIELDS[1:] for x in ("_fused", "_p")]), F.struct("respects", "agree", -F.col("record_id"))).alias("b"),
-        (F.count_if(F.col("respects") == 3) == 1).alias("sole_best"),
+        (F.coalesce(F.min(whole) == F.max(whole), F.lit(False))).alias("sole_best"),
     )
     return best.select(F.col("grp").alias("group_id"), F.col("b.record_id").alias("best_id"), "b.source", *[F.col(f"b.{f}{x}").alias(f + ("" if x == "_fused" else x)) for f in FIELDS[1:] for x in ("_fused", "_p")], "sole_best")

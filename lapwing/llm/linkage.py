@@ -219,8 +219,8 @@ def _window_pairs(rows: pd.DataFrame, first: int, cross: bool) -> list[tuple]:
     for d in range(1, min(WINDOW, n - 1) + 1):
         both = np.bitwise_count(bits[:-d] & bits[d:]).sum(axis=1).astype(np.int64)
         less, more = np.minimum(size[:-d], size[d:]), np.maximum(size[:-d], size[d:])
-        # Whole titles differ in a third of their words at most, misspelt all of them; a cut one has all words but one in the other.
-        ok = np.where(np.abs(words[:-d] - words[d:]) <= 2, both >= more - np.minimum(np.maximum(2, (more + 1) // 3), 3), both >= less - 1)
+        # Whole titles differ in two words at most, misspelt both of them; a cut one has all words but one in the other.
+        ok = np.where(np.abs(words[:-d] - words[d:]) <= 2, both >= more - 2, both >= less - 1)
         ok &= sort[:-d] == sort[d:]
         if cross:
             ok &= side[:-d] != side[d:]
@@ -334,11 +334,12 @@ def _spans(rows: DataFrame, side: int) -> DataFrame:
     return rows.groupBy("form").agg(F.max_by("authors", F.struct(F.length("authors"), "authors")).alias("authors"), F.coalesce(F.min(real), F.lit(0)).alias("low"), F.coalesce(F.max(real), F.lit(0)).alias("high")).select(F.lit(side).alias("side"), "form", "authors", "low", "high")
 
 
-def works(registry: DataFrame) -> DataFrame:
-    """(record_id, form, authors, year, work): records of one work share `work`; repeated rows stay."""
+def works(registry: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(record_id, form, authors, year, doi, work) and the columns to keep: records of one work share `work`; repeated rows stay."""
+    keep = keep or {}
     # A short title names a work only together with its authors.
     short = F.size(F.split("form", " ")) < WHOLE_WORDS
-    own = registry.select("record_id", title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year"), doi_form(F.col("doi")).alias("doi"), arxiv_form(F.col("arxiv_id")).alias("arxiv"))
+    own = registry.select("record_id", title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year"), doi_form(F.col("doi")).alias("doi"), arxiv_form(F.col("arxiv_id")).alias("arxiv"), *[c.alias(k) for k, c in keep.items()])
     # Written before anything refers to the forms, or each reference would compute them again.
     rows = written(own).where("form is not null").withColumn("t", F.xxhash64("form", F.when(short, F.col("authors")).otherwise(F.lit(""))))
     pairs = sorted_neighbourhood(_spans(rows, 1), cross=False)
@@ -352,7 +353,7 @@ def works(registry: DataFrame) -> DataFrame:
     named = rows.where(short).select("form", F.col("t").alias("b"), F.explode(F.split("authors", " ")).alias("name")).where("length(name) >= 5").distinct()
     edges = edges.unionByName(named.join(named.groupBy("form", "name").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), ["form", "name"]).select("a", "b"))
     roots = components(edges)
-    return rows.join(roots.withColumnRenamed("v", "t"), "t", "left").select("record_id", "form", "authors", "year", F.coalesce("root", "t").alias("work"))
+    return rows.join(roots.withColumnRenamed("v", "t"), "t", "left").select("record_id", "form", "authors", "year", "doi", *keep, F.coalesce("root", "t").alias("work"))
 
 
 def matches(citations: DataFrame, registry: DataFrame) -> DataFrame:
