@@ -1 +1 @@
-
+"""Readers of manuscripts, bibliographies, benchmark prompts and landed responses of bibliographic services."""
