@@ -78,7 +78,9 @@ def learn(patterns: list[tuple[list[tuple[str, ...]], int]], rules: Rules) -> tu
     """Accuracies of the sources and chances that pairs of them copy, from (claimants of each value, number of groups) of every pattern."""
     accuracy = {s: rules.accuracy for p, _ in patterns for kind in p for s in kind}
     copying: dict[tuple[str, str], float] = {}
-    for _ in range(rules.rounds):
+    for turn in range(rules.rounds + 1):
+        # Before any value is known to be false, only how often two sources agree tells of copying; accuracies are left as they are.
+        start = turn == 0
         weight = _weights({k for p, _ in patterns for k in p}, accuracy, copying, rules)
         right, votes = dict.fromkeys(accuracy, 0.0), dict.fromkeys(accuracy, 0)
         seen: dict[tuple[str, str], dict[str, float]] = {}
@@ -96,14 +98,15 @@ def learn(patterns: list[tuple[list[tuple[str, ...]], int]], rules: Rules) -> tu
                                 if x != y:
                                     pair["d"] += n
                                 else:
-                                    pair["t"] += n * p[x]
-                                    pair["f"] += n * (1 - p[x])
-        accuracy = {s: min(0.99, max(0.05, right[s] / votes[s])) for s in accuracy}
+                                    pair["t"] += n if start else n * p[x]
+                                    pair["f"] += 0 if start else n * (1 - p[x])
+        if not start:
+            accuracy = {s: min(0.99, max(0.05, right[s] / votes[s])) for s in accuracy}
         for (a, b), pair in seen.items():
             mean, c = (accuracy[a] + accuracy[b]) / 2, rules.copied
-            chance = {"t": mean**2, "f": (1 - mean) ** 2 / rules.false_values}
+            chance = {"t": mean**2 + start * (1 - mean) ** 2 / rules.false_values, "f": (1 - mean) ** 2 / rules.false_values}
             chance["d"] = max(1 - chance["t"] - chance["f"], 1e-6)
-            given = {"t": c * mean + (1 - c) * chance["t"], "f": c * (1 - mean) + (1 - c) * chance["f"], "d": max((1 - c) * chance["d"], 1e-6)}
+            given = {"t": c * (1.0 if start else mean) + (1 - c) * chance["t"], "f": c * (1 - mean) + (1 - c) * chance["f"], "d": max((1 - c) * chance["d"], 1e-6)}
             # Evidence of the mean claim, grown by the logarithm of their number only, so that many groups don't turn it into certainty.
             n = sum(pair.values())
             evidence = sum(k * math.log(given[x] / chance[x]) for x, k in pair.items()) / max(n, 1) * math.log1p(n)

@@ -7,7 +7,7 @@ edits, so the position-shifted substrings of one part are looked up in an
 inverted index of the segments of the others, and the candidates are verified
 with a banded edit distance that counts a swap of neighbours as one edit. A
 misspelling takes the form of its most widely used neighbour. Names then meet
-only within one block - same surname and initial, or a shared rare word of an
+only within one block - same surname and initial, or a shared telling word of an
 organisation - where they are grouped by their parts in a pass that is linear
 in the names of the block; pairs are written out within the resulting entities
 only.
@@ -325,14 +325,15 @@ def variants(names: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("at") >= 0, F.struct("at", "part", "df")))).alias("words"),
     )
     whole = written(parts.select("name", "uses", "kind", "given", "middle", F.try_element_at(F.col("words"), F.lit(1)).alias("caps")).join(told, "name"))
-    # Blocks: surname and initial of the full given name; for organisations their two rarest words.
+    # Blocks: surname and initial of the full given name; for organisations their three most telling words.
     full = F.create_map(*[F.lit(x) for k, v in sorted(_FULL.items()) for x in (k, "".join(sorted({f[0] for f in v} | {k[0]})))])
     initials = F.concat(*[F.coalesce(F.try_element_at(full, F.col(c)), F.substring(c, 1, 1), F.lit("")) for c in ("given", "spelt")])
     persons = whole.where("kind <> 'org'").select(
         F.lit("person").alias("kind"), "name", "uses", "given", F.coalesce("spelt", "given").alias("spelt"), "middle", F.array().cast("array<string>").alias("words"), F.lit("").alias("core"),
         F.explode(F.array_distinct(F.split(F.when(initials == "", F.lit("-")).otherwise(initials), ""))).alias("initial"), F.col("surname").alias("block"),
     )
-    rare = F.expr("slice(array_sort(transform(words, w -> struct(length(w.part) < 6 AS brief, w.df AS df, w.part AS part))), 1, 2)")
+    usual = ", ".join(f"'{w}'" for w in sorted(ORG_WORDS) if w.isascii())
+    rare = F.expr(f"slice(array_sort(transform(words, w -> struct(w.part IN ({usual}) AS usual, length(w.part) < 6 AS brief, w.df AS df, w.part AS part))), 1, 3)")
     orgs = whole.where("kind = 'org'").select("name", "uses", F.transform("words", lambda w: w["part"]).alias("words"), F.lit("").alias("core"), F.explode(rare).alias("rare"))
     orgs = orgs.select("name", "uses", "words", "core", F.col("rare.part").alias("block"))
     shorts = whole.where("kind = 'short'").select("name", "uses", F.array("caps").alias("words"), F.col("surname").alias("core"), F.col("surname").alias("block"))
