@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 from lapwing.operators import claims as claims_
 from lapwing.operators import extract, link, patches, retrieve, score, threat
 from lapwing.params import Params
+from lapwing.session import written
 
 
 def audit(docs: DataFrame, registry: DataFrame, url_status: DataFrame | None = None, p: Params | None = None) -> dict[str, DataFrame]:
-    """Tables of all layers for docs(doc_id, user_prompt, generated_text, external_context). Blocked documents stop after the first layer."""
+    """Tables of all layers for docs(doc_id, user_prompt, generated_text, external_context). Blocked documents stop after the first layer.
+
+    What several stages read is written to the shared folder once.
+    """
     p = p or Params()
-    threats = threat.threat_report(docs.select("doc_id", "user_prompt", "external_context"), p)
+    threats = written(threat.threat_report(docs.select("doc_id", "user_prompt", "external_context"), p))
     clear = docs.join(threats.where("blocked").select("doc_id"), "doc_id", "left_anti")
-    cites = extract.extract_citations(clear)
+    cites = written(extract.extract_citations(clear))
     tri = claims_.triplets(clear, p)
-    own = claims_.claims(tri, cites)
-    unique = extract.unique_citations(cites).withColumn("citation_id", F.xxhash64("doc_id", "cite_ord"))
-    cands = retrieve.candidates(unique, registry, p)
+    own = written(claims_.claims(tri, cites))
+    unique = written(extract.unique_citations(cites).withColumn("citation_id", F.xxhash64("doc_id", "cite_ord")))
+    cands = written(retrieve.candidates(unique, registry, p))
     judged = retrieve.judge(unique, cands)
-    matches = link.linked(unique, cands, p)
-    verdicts = link.verdicts(unique, judged, link.best(matches, p), p).join(unique.select("citation_id", "cite_ord"), "citation_id")
+    matches = written(link.linked(unique, cands, p))
+    verdicts = written(link.verdicts(unique, judged, link.best(matches, p), p).join(unique.select("citation_id", "cite_ord"), "citation_id"))
     u = claims_.uncertainty(own, p)
     v = score.alignment(score.verdict_claims(verdicts, cites, own))
     signals = threats.select("doc_id", "p_injection", "blocked").join(u.select("doc_id", "u_intrinsic"), "doc_id", "left").join(v, "doc_id", "left")
     signals = signals.select("doc_id", "p_injection", "blocked", F.when(F.col("blocked"), 1.0).otherwise(F.coalesce("u_intrinsic", F.lit(0.0))).alias("u_intrinsic"), F.when(F.col("blocked"), 0.0).otherwise(F.coalesce("v_extrinsic", F.lit(0.0))).alias("v_extrinsic"))
     safety = signals.withColumn("score", score.hrs(*[F.col(c) for c in ("p_injection", "u_intrinsic", "v_extrinsic", "blocked")], p)).withColumn("interpretation", score.interpretation(F.col("score")))
+    safety = written(safety)
     fixes = patches.build(unique, verdicts, matches, safety.select("doc_id", "score", "p_injection", "blocked"), p)
     out = {"threats": threats, "citations": cites, "claims": own, "candidates": cands, "matches": matches, "verdicts": verdicts, "safety": safety, "patches": fixes}
     if url_status is not None:

@@ -148,6 +148,13 @@ def lcs(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN length({a}) ELSE list_max(list_transform(range(1, length({a}) + 1), lambda i: list_max(list_transform(range(0, length({a}) - i + 2), lambda n: CASE WHEN contains({b}, substr({a}, CAST(i AS INTEGER), CAST(n AS INTEGER))) THEN n ELSE 0 END)))) END"
 
 
+def jaro(a: str, b: str) -> str:
+    """The engine's own function counts bytes: every other letter becomes one that lower-case text does not hold."""
+    others = f"array_to_string(list_distinct(regexp_extract_all({a} || {b}, '[^\\x00-\\x7F]')), '')"
+    spare = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || " + " || ".join(f"chr({k})" for k in (*range(1, 9), *range(14, 32)))
+    return f"jaro_similarity(translate({a}, {others}, left({spare}, length({others}))), translate({b}, {others}, left({spare}, length({others}))))"
+
+
 def prefix(a: str, b: str) -> str:
     return "(" + " + ".join(f"CASE WHEN length({a}) >= {k} AND length({b}) >= {k} AND left({a}, {k}) = left({b}, {k}) THEN 1 ELSE 0 END" for k in range(1, 5)) + ")"
 
@@ -158,12 +165,12 @@ def enhanced(j: str, a: str, b: str, sub: str) -> str:
 
 
 PAIRS = f"""{REG}, pair AS (SELECT record_id, lower({strip('title')}) AS a, lower({strip('lag(title) OVER (PARTITION BY lower(doi) ORDER BY record_id)')}) AS b FROM reg WHERE coalesce(doi, '') <> ''), pairs2 AS (SELECT * FROM pair WHERE a <> '' AND b <> ''),
-simil AS (SELECT a, b, jaro_similarity(a, b) AS j, {lcs('a', 'b')} AS l FROM (SELECT DISTINCT a, b FROM pairs2))"""
+simil AS (SELECT a, b, {jaro('a', 'b')} AS j, {lcs('a', 'b')} AS l FROM (SELECT DISTINCT a, b FROM pairs2))"""
 
 FIELD = f"""{CAND}, cp AS (SELECT k.citation_id, k.record_id, k.cand_ord, k.manifestation, c.title AS ct, k.title AS rt, c.venue AS cv, k.venue AS rv, c.authors AS ca, k.authors AS ra, c.arxiv_id AS cx, CASE WHEN coalesce(c.year, 0) <> 0 AND c.year = coalesce(k.year, -1) THEN 1.0 ELSE 0.0 END AS ys, CASE WHEN coalesce(c.doi, '') <> '' AND lower(coalesce(c.doi, '')) = lower(coalesce(k.doi, '')) THEN 1.0 ELSE 0.0 END AS ds FROM cand k JOIN citations_flat c ON k.citation_id = c.citation_id),
 au AS (SELECT citation_id, record_id, i, l, unnest(ra[1:8]) AS r FROM (SELECT citation_id, record_id, ra, unnest(ca[1:5]) AS l, generate_subscripts(ca[1:5], 1) AS i FROM cp)),
 strs AS (SELECT DISTINCT lower({strip('x')}) AS a, lower({strip('y')}) AS b FROM (SELECT ct AS x, rt AS y FROM cp UNION ALL SELECT cv, rv FROM cp UNION ALL SELECT l, r FROM au) WHERE coalesce(x, '') <> '' AND coalesce(y, '') <> ''),
-sim0 AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE jaro_similarity(a, b) END AS j, CASE WHEN a = '' OR b = '' THEN 0 ELSE {lcs('a', 'b')} END AS l FROM strs),
+sim0 AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE {jaro('a', 'b')} END AS j, CASE WHEN a = '' OR b = '' THEN 0 ELSE {lcs('a', 'b')} END AS l FROM strs),
 sim AS (SELECT a, b, {enhanced('j', 'a', 'b', 'l')} AS s FROM sim0),
 aus AS (SELECT citation_id, record_id, avg(m) AS s FROM (SELECT au.citation_id, au.record_id, au.i, max(coalesce(sim.s, 0.0)) AS m FROM au LEFT JOIN sim ON lower({strip('au.l')}) = sim.a AND lower({strip('au.r')}) = sim.b GROUP BY au.citation_id, au.record_id, au.i) GROUP BY citation_id, record_id),
 fields AS (SELECT cp.*, coalesce(t.s, 0.0) AS title_sim, coalesce(v.s, 0.0) AS venue_sim, coalesce(aus.s, 0.0) AS authors_sim FROM cp LEFT JOIN sim t ON lower({strip('cp.ct')}) = t.a AND lower({strip('cp.rt')}) = t.b LEFT JOIN sim v ON lower({strip('cp.cv')}) = v.a AND lower({strip('cp.rv')}) = v.b LEFT JOIN aus ON cp.citation_id = aus.citation_id AND cp.record_id = aus.record_id),
