@@ -30,18 +30,21 @@ from pyspark.sql import functions as F
 from lapwing.llm.common import INVISIBLE
 
 _WORD = re.compile(r"[^\W_]+")
-_TAG = re.compile(r"<[^<>]{1,60}>|&[a-z]{2,8};|&#\d{1,6};|(?m:^\s*(?:USER|ASSISTANT|SYSTEM)\s*:)")
-_BREAK = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])")
+_TAG = re.compile(r"<[^<>]{1,60}>|&[a-z]{2,8};|&#\d{1,6};")
+_SPEAKER = re.compile(r"(?m)^[ \t]*(?:USER|ASSISTANT|SYSTEM)[ \t]*:")
+_UNSEEN = re.compile(f"[{INVISIBLE}]")
 _GONE = dict.fromkeys(map(ord, INVISIBLE))
 
 
 def tokens(text: str | None) -> list[str]:
     if not text:
         return []
-    if not text.isascii():
+    if not text.isascii() and _UNSEEN.search(text):
         text = text.translate(_GONE)
-    if "<" in text or "&" in text or ":" in text:
+    if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
+    if "USER" in text or "ASSISTANT" in text or "SYSTEM" in text:
+        text = _SPEAKER.sub(" ", text)
     return _WORD.findall(text.casefold())
 
 
