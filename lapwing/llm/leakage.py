@@ -119,10 +119,10 @@ class Index:
         self.termmax = self.blockmax.max(axis=1) if blocks else np.zeros(1, np.float32)
         # Words of one or two items alone give an item away; a misspelling of one counts as the word.
         marks = {w for w, d in self.df.items() if d <= 2 and len(w) > 4}
-        self.marks = np.zeros_like(self.impact)
+        self.marks = np.zeros(self.impact.shape, bool)
         for k, i in enumerate(self.ids):
             for w in marks.intersection(self.items[i]):
-                self.marks[self.terms[w], k] = 1
+                self.marks[self.terms[w], k] = True
         self.read = _Reader(self.terms, sorted(marks))
         self.marked = np.array([*(w in marks for w in self.terms), False])
         rare = [np.array([w in marks for w in self.items[i]]) for i in self.ids]
@@ -192,11 +192,12 @@ class Index:
                 own = np.concatenate([part[p] for p in ps.tolist()])
                 starts = np.r_[0, np.cumsum(sizes[ps])[:-1]]
                 score = np.add.reduceat(self.impact[own, lo:hi], starts, axis=0)
-                told = np.add.reduceat(self.marks[own, lo:hi], starts, axis=0) > 0
                 limit = np.pad(self.threshold[lo:hi], (0, hi - lo - len(self.threshold[lo:hi])), constant_values=np.inf)
-                for x, k in zip(*(v.tolist() for v in np.nonzero((score >= limit) & (told | (score >= self.bare_least[lo:hi])))), strict=True):
-                    d, s = owner[at + int(ps[x])]
-                    found[d][lo + k].append(s)
+                for x, k in zip(*(v.tolist() for v in np.nonzero(score >= limit)), strict=True):
+                    p = int(ps[x])
+                    if score[x, k] >= self.bare_least[lo + k] or self.marks[part[p], lo + k].any():
+                        d, s = owner[at + p]
+                        found[d][lo + k].append(s)
         return found
 
     def holds(self, words: list[str], item: int) -> bool:
