@@ -9,6 +9,7 @@ from lapwing.functions.citations import tier_of_citation
 from lapwing.functions.similarity import enhanced, pair_scores
 from lapwing.functions.text import strip, text
 from lapwing.params import MANIFESTATIONS, Params
+from lapwing.session import written
 
 
 def _similar(df: DataFrame, left: Column, right: Column, name: str, p: Params) -> DataFrame:
@@ -31,7 +32,7 @@ def field_similarity(cites: DataFrame, cands: DataFrame, p: Params | None = None
     """Candidates with title_sim, authors_sim, venue_sim, year_sim, doi_sim and their weighted similarity."""
     p = p or Params()
     own = cites.select("citation_id", *[F.col(c).alias(f"c_{c}") for c in ("title", "authors", "year", "venue", "doi", "arxiv_id")])
-    pairs = cands.join(own, "citation_id")
+    pairs = written(cands.join(own, "citation_id"))  # read once for each field
     pairs = _similar(_similar(pairs, F.col("c_title"), F.col("title"), "title_sim", p), F.col("c_venue"), F.col("venue"), "venue_sim", p)
     pairs = pairs.join(author_similarity(pairs, p), ["citation_id", "record_id"], "left").withColumn("authors_sim", F.coalesce("authors_sim", F.lit(0.0)))
     year = F.when((F.coalesce("c_year", F.lit(0)) != 0) & (F.col("c_year") == F.coalesce("year", F.lit(-1))), 1.0).otherwise(0.0)

@@ -12,6 +12,7 @@ from lapwing.functions import similarity as S
 from lapwing.functions import text as X
 from lapwing.operators import claims, extract, link, patches, retrieve, score, threat
 from lapwing.params import Params
+from lapwing.session import written
 
 P = Params()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,12 +85,12 @@ def _cand(s: SparkSession, d: str) -> DataFrame:
 
 
 def _linked(s: SparkSession, d: str) -> DataFrame:
-    return link.linked(cites(s, d), _cand(s, d), P)
+    return written(link.linked(cites(s, d), _cand(s, d), P))
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
-    c, k = cites(s, d), _cand(s, d)
-    return link.verdicts(c, retrieve.judge(c, k), link.best(link.linked(c, k, P), P), P)
+    c, k = cites(s, d), written(_cand(s, d))
+    return link.verdicts(c, retrieve.judge(c, k), link.best(written(link.linked(c, k, P)), P), P)
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
@@ -112,8 +113,8 @@ def _hrs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _gate(s: SparkSession, d: str) -> DataFrame:
-    c, k = cites(s, d), _cand(s, d)
-    m = link.linked(c, k, P)
+    c, k = cites(s, d), written(_cand(s, d))
+    m = written(link.linked(c, k, P))
     v = link.verdicts(c, retrieve.judge(c, k), link.best(m, P), P).select("citation_id", "label")
     top = m.where("match_ord = 0").select("citation_id", "record_id", "similarity", "manifestation_conflict")
     i = F.col("citation_id")
