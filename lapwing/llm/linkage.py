@@ -62,25 +62,29 @@ def _tables() -> tuple[str, str]:
 _FROM, _TO = _tables()
 
 
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
 def plain(c: Column) -> Column:
     """Lower case without accents, look-alikes and invisible characters."""
-    ascii_only = F.lower(c)
-    written_as = c
     c = F.translate(F.lower(c), _FROM, _TO)
     for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.when(written_as.rlike(r"[^\x00-\x7F]"), c).otherwise(ascii_only)
+    return c
 
 
 def title_form(c: Column) -> Column:
     """Words of a title, one blank between them; null if there are none."""
-    return F.nullif(F.trim(F.regexp_replace(plain(c), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
+    # Most titles are ASCII, for which the short way gives the same.
+    form = F.when(c.rlike(_BEYOND_ASCII), F.regexp_replace(plain(c), r"[^\p{L}\p{N}]+", " ")).otherwise(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.nullif(F.trim(form), F.lit(""))
 
 
 def author_words(c: Column) -> Column:
     """Distinct longer words of an author list in alphabetical order."""
-    every = F.split(plain(F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")), r"[^\p{L}]+")
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(every, lambda w: F.length(w) >= 4))), " ")
+    every = F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ")
+    words = F.when(every.rlike(_BEYOND_ASCII), F.split(plain(every), r"[^\p{L}]+")).otherwise(F.split(F.lower(every), "[^a-z]+"))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))), " ")
 
 
 def doi_form(c: Column) -> Column:
@@ -117,11 +121,11 @@ def part_of(form: str) -> tuple[str, str]:
 
 
 def _typos(a: list[str], b: list[str]) -> int | None:
-    """Misspelt words between two lists of one length; None if some words are different ones."""
+    """Misspelt words between two lists of one length; None if some words are different ones. A misspelt word keeps its first or its last letter."""
     wrong = 0
     for x, y in zip(a, b, strict=True):
         if x != y:
-            if x.isdigit() or y.isdigit() or osa(x, y, 2) > (1 if max(len(x), len(y)) < 8 else 2):
+            if x[0] != y[0] and x[-1] != y[-1] or x.isdigit() or y.isdigit() or osa(x, y, 2) > (1 if max(len(x), len(y)) < 8 else 2):
                 return None
             wrong += 1
     return wrong if wrong <= max(1, (len(a) + 1) // 3) else None
@@ -140,7 +144,9 @@ def title_similarity(a: str, b: str) -> tuple[float, str]:
             wrong = _typos(x, y)
             if wrong is not None:
                 return 1 - 0.1 * wrong / len(x), "typo"
-            wrong = _typos(sorted(x), sorted(y))
+            # Two words out of place can't be parts of the title that changed places.
+            moved = sum(v != w for v, w in zip(x, y, strict=True)) > 2
+            wrong = _typos(sorted(x), sorted(y)) if moved else None
             if wrong is not None and len(set(x) & set(y)) >= len(set(x)) - wrong:
                 return 0.95 - 0.1 * wrong / len(x), "order"
         elif len(y) - len(x) <= 2 and osa("".join(x), "".join(y), 2) <= 2:
