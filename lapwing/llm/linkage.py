@@ -7,9 +7,9 @@ range-partitioned, and a window slides over it, also across partition
 borders. A bit signature of the words drops hopeless pairs in bulk, the others
 get weighted similarities of title, authors and year. Registry records become
 works through shared identifiers, equal forms and such pairs. Entries without
-identifiers are then assigned to works: what cites one title in one way is one
-cited form, and within a cited form and year each registry work is taken once,
-by falling confidence, until no assignment raises the total.
+identifiers are then assigned to works: each cited form (title, authors and year
+as written) takes the one work of highest confidence, and with it all records of
+that work. Several forms may cite one work, so works are not used up.
 
 Defined cases: null or blank titles take no part; missing authors or years
 neither speak for nor against a match; repeated rows count once.
