@@ -11,9 +11,10 @@ much closer to a centroid of that subject than to any other subject's. Each
 sentence goes to the subject its terms speak for most, and a document deals with
 the subjects that at least a third of its sentences are about.
 
-The vocabulary holds terms in at least ``min_share`` and at most ``max_share`` of
-the documents, so its size is bounded by terms per document over ``min_share``
-whatever the corpus. Defined cases: null or empty texts, and texts without a
+The vocabulary holds terms in at least ``min_share`` of the documents, so its
+size is bounded by terms per document over ``min_share`` whatever the corpus. Of
+the terms in more than ``max_share`` of the distinct texts only those are left
+out that spread evenly over the subjects of the labelled texts. Defined cases: null or empty texts, and texts without a
 known term, have no subject; labels of unknown subjects or documents are
 ignored, letter case aside; a document labelled with several subjects seeds
 none; without labels nothing is assigned.
@@ -46,6 +47,7 @@ class Rules:
     refinements: int = 3
     min_share: float = 0.0005
     min_docs: int = 4
+    #: Terms in more than this share of the distinct texts are judged by their spread over the subjects.
     max_share: float = 0.08
     #: A document takes part in a refinement if its best subject's cosine is above sure and twice the next one's.
     sure: float = 0.15
@@ -188,6 +190,29 @@ def refine(vectors: DataFrame, seeds: DataFrame, names: list[str], rules: Rules)
     return owners, centroids
 
 
+def general(bodies: DataFrame, seeds: DataFrame, terms: list[str], rules: Rules) -> set[str]:
+    """Those of these terms that labelled texts hold whatever their subject; each text counts once a subject."""
+    if not terms:
+        return set()
+    held = F.array_intersect(F.split("text", r"[ \n]"), F.array(*map(F.lit, terms)))
+    texts = written(bodies.select("doc_id", F.xxhash64("text").alias("digest"), held.alias("held")).join(seeds, "doc_id").dropDuplicates(["subject", "digest"]).select("subject", "held"))
+    size = {r.subject: r["count"] for r in texts.groupBy("subject").count().collect()}
+    seen: dict[str, dict[str, int]] = {}
+    for r in texts.select("subject", F.explode("held").alias("term")).groupBy("subject", "term").count().collect():
+        seen.setdefault(r.term, {})[r.subject] = r["count"]
+    every, out = sum(size.values()), set()
+    for term, by in seen.items():
+        total = sum(by.values())
+        uneven = False
+        for s, x in by.items():
+            own, rest = (x + 0.5) / (size[s] + 1), (total - x + 0.5) / (every - size[s] + 1)
+            # Few labelled texts spread unevenly by chance.
+            uneven |= own >= rules.lead * rest and own - rest > 3 * math.sqrt(rest * (1 - rest) / size[s])
+        if total >= rules.min_docs and not uneven:
+            out.add(term)
+    return out
+
+
 def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(doc_id, subject, share) for documents(doc_id, text, lang), labels(doc_id, subject), subjects(subject)."""
     rules = rules or Rules()
@@ -205,12 +230,18 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     n = bodies.count()
     if not n or not names:
         return empty
-    counted = bodies.select(F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("term")).groupBy("term").count()
-    kept = counted.where(F.col("count").between(max(rules.min_docs, rules.min_share * n), max(rules.max_share * n, rules.min_docs))).collect()
+    # A document labelled with one subject only, whoever said it and however often, is a seed.
+    said = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(names))
+    seeds = said.groupBy("doc_id").agg(F.min("subject").alias("subject"), F.max("subject").alias("other")).where("subject = other").drop("other")
+    distinct = bodies.select(F.xxhash64("text")).distinct().count()
+    texts = bodies.groupBy("text").agg(F.count("*").alias("copies"))
+    counted = texts.select("copies", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("term")).groupBy("term").agg(F.sum("copies").alias("docs"), F.count("*").alias("texts"))
+    kept = counted.where(F.col("docs") >= max(rules.min_docs, rules.min_share * n)).collect()
+    left_out = general(bodies, seeds, sorted(r.term for r in kept if r.texts > max(rules.max_share * distinct, rules.min_docs)), rules)
+    kept = sorted((r for r in kept if r.term not in left_out), key=lambda r: r.term)
     if not kept:
         return empty
-    kept.sort(key=lambda r: r.term)
-    idf = np.array([math.log(n / r["count"]) + 1e-3 for r in kept], np.float32)
+    idf = np.array([math.log(max(distinct / r.texts, 1)) + 1e-3 for r in kept], np.float32)
     lexicon = spark.sparkContext.broadcast({r.term: i for i, r in enumerate(kept)})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,9 +270,6 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"].astype(object), "vec": [v.tobytes() for v in x]})
 
     vectors = written(encoded.mapInPandas(embed, "doc_id bigint, lang string, vec binary"))
-    # A document labelled with one subject only, whoever said it and however often, is a seed.
-    said = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(names))
-    seeds = said.groupBy("doc_id").agg(F.min("subject").alias("subject"), F.max("subject").alias("other")).where("subject = other").drop("other")
     owners, centroids = refine(vectors, seeds, names, rules)
     if not owners:
         return empty

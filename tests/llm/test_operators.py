@@ -236,6 +236,18 @@ def test_subjects(spark):
         assert subjects.subject_areas(*[t.limit(0) if i == k else t for i, t in enumerate(table)], rules).count() == 0
 
 
+def test_subjects_of_frequent_wording(spark):
+    # A third of the documents are copies of one text, and every subject's own terms are in more than max_share of the texts.
+    rng = random.Random(6)
+    words = {s: [f"{s}{c}" for c in "abcdef"] for s in ("metal", "plants", "stars")}
+    line = lambda s: f"They say that {rng.choice(words[s])} with {rng.choice(words[s])} came late."
+    docs = [(i, " ".join(line(s) for _ in range(4)), s) for i in range(200) for s in [list(words)[i % 3]]]
+    docs += [(1000 + i, "They say that metala with coppery met metalb. They say that coppery metalc came late.", "metal") for i in range(100)]
+    table = [spark.createDataFrame([(i, t, "en") for i, t, _ in docs], "doc_id bigint, text string, lang string"), spark.createDataFrame([(i, s) for i, _, s in docs if i % 4 == 0], "doc_id bigint, subject string"), spark.createDataFrame([(s,) for s in words], "subject string")]
+    got = {(r.doc_id, r.subject) for r in subjects.subject_areas(*table, subjects.Rules(rank=16)).collect()}
+    assert got == {(i, s) for i, _, s in docs}
+
+
 def test_results_do_not_depend_on_partitions(spark):
     r = registry(spark)
     a, b = (sorted((x.record_id, x.form) for x in linkage.works(r.repartition(n)).select("record_id", "form").distinct().collect()) for n in (1, 5))
