@@ -21,6 +21,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,12 +51,11 @@ def tokens(text: str | None) -> list[str]:
 
 @dataclass
 class Rules:
-    """run: consecutive words an item must share; hits: how many of them must be the same or misspelt; weight: share of a run's BM25 score that a passage must reach; rare_hits: share of the run's rare words that must be among the hits; stock_share, stock_words: word runs of this length in this share of items (eight at least) are stock."""
+    """run: consecutive words an item must share; hits: how many of them must be the same or misspelt; known: share of a run's weight that its hits must bring if no telling word is among them; stock_share, stock_words: word runs of this length in this share of items (eight at least) are stock."""
 
     run: int = 16
     hits: int = 12
-    weight: float = 0.75
-    rare_hits: float = 0.5
+    known: float = 0.75
     stock_words: int = 6
     stock_share: float = 0.03
     passage: int = 32
@@ -104,9 +104,11 @@ class Index:
         self.items = self._without_stock(self.items)
         self.ids = sorted(i for i, w in self.items.items() if len(w) >= r.run)
         n = len(self.ids)
-        self.df = Counter(w for i in self.ids for w in set(self.items[i]))
+        # Copies of an item count once, or its own words would pass for common ones.
+        texts = {tuple(self.items[i]) for i in self.ids}
+        self.df = Counter(w for own in texts for w in set(own))
         self.terms = {w: t for t, w in enumerate(sorted(self.df))}
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in self.df.items()}
+        idf = {w: math.log(1 + (len(texts) - d + 0.5) / (d + 0.5)) for w, d in self.df.items()}
         self.idf = idf
         mean = sum(len(self.items[i]) for i in self.ids) / max(n, 1)
         blocks = -(-n // r.block) if n else 0
@@ -125,20 +127,25 @@ class Index:
                 self.marks[self.terms[w], k] = True
         self.read = _Reader(self.terms, sorted(marks))
         self.marked = np.array([*(w in marks for w in self.terms), False])
-        rare = [np.array([w in marks for w in self.items[i]]) for i in self.ids]
-        # A run without a telling word must be there but for one word, so a passage without one must bring that much.
-        self.bare_least = np.full(blocks * r.block, np.inf, np.float32)
+        # A run lies whole within some passage, which it must bring what its `hits` lightest words weigh, or, without a telling word, all that `known` asks for.
+        lost = r.run - r.hits
+        least, self.least_words, self.bare_least = [], [], np.full(blocks * r.block, np.inf, np.float32)
         for k, i in enumerate(self.ids):
-            own = np.array([self.impact[self.terms[x], k] for x in self.items[i]])
-            for s in np.flatnonzero(np.convolve(rare[k], np.ones(r.run), "valid") == 0).tolist():
-                self.bare_least[k] = min(self.bare_least[k], own[s : s + r.run].sum() - own[s : s + r.run].max())
+            own, least_here = self.items[i], math.inf
+            for s in range(len(own) - r.run + 1):
+                run = own[s : s + r.run]
+                brought = sorted((float(self.impact[self.terms[w], k]) for w in set(run)), reverse=True)
+                least_here = min(least_here, sum(brought[lost:]))
+                spare = (1 - r.known) * sum(idf[w] for w in run) - sum(idf[w] for w in run if w in marks)
+                other = lost - sum(w in marks for w in run)
+                if spare >= 0 and other >= 0:
+                    brought = sorted((float(self.impact[self.terms[w], k]) for w in set(run) - marks), reverse=True)
+                    heaviest = max((float(self.impact[self.terms[w], k]) / idf[w] for w in run), default=0)
+                    self.bare_least[k] = min(self.bare_least[k], sum(brought) - min(sum(brought[:other]), spare * heaviest))
+            least.append(0.999 * least_here)
+            self.least_words.append(min((len(set(own[s : s + r.run])) for s in range(len(own) - r.run + 1)), default=0) - lost)
+        self.bare_least *= 0.999
         self.unmarked = np.isfinite(self.bare_least)
-        # Each run of `run` item words lies whole within some passage; it must bring `weight` of the lightest run's score.
-        least = []
-        for k, i in enumerate(self.ids):
-            own = np.array([self.impact[self.terms[x], k] for x in self.items[i]])
-            sums = np.convolve(own, np.ones(r.run), "valid")
-            least.append(r.weight * sums.min())  # the floor of what any true run brings
         self.threshold = np.array(least, np.float32)
         self.blockmin = np.pad(self.threshold, (0, blocks * r.block - n), constant_values=np.inf).reshape(blocks, r.block).min(axis=1) if blocks else np.zeros(0)
         self.bare = self.impact[:, self.unmarked].max(axis=1, initial=0)
@@ -195,7 +202,7 @@ class Index:
                 limit = np.pad(self.threshold[lo:hi], (0, hi - lo - len(self.threshold[lo:hi])), constant_values=np.inf)
                 for x, k in zip(*(v.tolist() for v in np.nonzero(score >= limit)), strict=True):
                     p = int(ps[x])
-                    if score[x, k] >= self.bare_least[lo + k] or self.marks[part[p], lo + k].any():
+                    if (score[x, k] >= self.bare_least[lo + k] or self.marks[part[p], lo + k].any()) and np.count_nonzero(self.impact[part[p], lo + k]) >= self.least_words[lo + k]:
                         d, s = owner[at + p]
                         found[d][lo + k].append(s)
         return found
@@ -211,20 +218,22 @@ class Index:
         for diagonal in sorted(diagonals, key=lambda d: (-diagonals[d], d)):
             if sum(diagonals.get(diagonal + k, 0) for k in (-2, -1, 0, 1, 2)) < r.hits - 4:
                 continue
-            hit, rare = np.zeros(n), np.zeros(n)
+            hit, rare, weight = np.zeros(n), np.zeros(n), np.array([self.idf[w] for w in own])
             for q, w in enumerate(own):
                 p = diagonal + q
                 around = words[max(p - 2, 0) : max(p + 3, 0)]
                 hit[q] = w in around or len(w) > 4 and any(close(w, x) for x in around)
                 rare[q] = len(w) > 4 and self.df[w] <= 2
             ones = np.ones(r.run)
-            hits, rares, good = (np.convolve(x, ones, "valid") for x in (hit, rare, hit * rare))
-            known = np.where(rares > 0, (good > r.rare_hits * rares) | (good > 0) & (hits >= r.run - 2), hits >= r.run - 1)
+            hits, good, brought, whole = (np.convolve(x, ones, "valid") for x in (hit, hit * rare, hit * weight, weight))
+            # Passages cut to one pattern share all but their telling words, so those or most of the weight must be there.
+            known = (good > 0) | (brought >= r.known * whole)
             if ((hits >= r.hits) & known).any():
                 return True
         return False
 
 
+@lru_cache(maxsize=1 << 18)
 def close(a: str, b: str) -> bool:
     """One edit or one swap of neighbours apart."""
     if abs(len(a) - len(b)) > 1 or a == b:

@@ -212,6 +212,26 @@ def test_leaked(spark):
         leakage.leaked(d, items, leakage.Rules(max_items=2))
 
 
+def test_few_replaced_words_hide_no_run():
+    # Any four of sixteen words may be replaced, and an item may be held several times, as long as a telling word is left.
+    rng = random.Random(8)
+    other = "Of 17 qualifying rounds once listed by Pennalssey the Dimheton edition still shows tackles, all of them late, and no more."
+    index = leakage.Index(leakage.Rules(), {i: leakage.tokens(ITEM if i < 5 else other) for i in range(6)})
+    own, lost = index.items[0], []
+    for s in range(len(own) - 15):
+        for k in (2, 3, 4):
+            for _ in range(20):
+                gone = rng.sample(range(1, 15), k)
+                run = ["zzzz" if x in gone else w for x, w in enumerate(own[s : s + 16])]
+                if not any(len(w) > 4 and index.df[w] <= 2 for w in run):
+                    continue
+                words = ["before"] * rng.randrange(40) + run + ["after"] * 40
+                found = index.candidates([words])[0]
+                if not any(index.holds(words[max(at - 16, 0) : at + 48], 0) for at in found.get(0, ())):
+                    lost.append(run)
+    assert not lost
+
+
 # 9 subjects
 def test_subjects(spark):
     rng = random.Random(4)
