@@ -311,6 +311,30 @@ def sorted_neighbourhood(forms: DataFrame, cross: bool, common_share: float = 0.
     return pairs.groupBy("form_a", "form_b", "authors_a", "year_a").agg(F.max("confidence").alias("confidence"))
 
 
+RARE = 4
+
+
+def rare_pairs(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """(form, form_b) of entries(form) and records(form) that share two of the record's rarest words, wherever they stand.
+
+    An entry brings one more of its words that records have, as one may be a misspelling that is another word.
+    """
+
+    def words(forms: DataFrame) -> DataFrame:
+        return forms.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
+
+    held = written(words(records))
+    uses = written(held.groupBy("word").agg(F.count("*").alias("uses")))
+
+    def keys(own: DataFrame, most: int) -> DataFrame:
+        rarest = own.join(uses, "word").groupBy("form").agg(F.slice(F.array_sort(F.collect_list(F.struct("uses", "word"))), 1, most).alias("w"))
+        sorted_words = F.array_sort(F.col("w.word"))
+        pairs = F.flatten(F.transform(sorted_words, lambda a: F.transform(F.filter(sorted_words, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
+        return rarest.select("form", F.explode(pairs).alias("key"))
+
+    return keys(words(entries), RARE + 1).join(keys(held, RARE).withColumnRenamed("form", "form_b"), "key").select("form", "form_b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of edges(a, b): root is the smallest vertex that can be reached.
 
@@ -380,13 +404,21 @@ def matches(citations: DataFrame, registry: DataFrame) -> DataFrame:
             if len(b):
                 yield b[["form", "authors", "year", "work", "confidence"]]
 
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[bool(title_similarity(f, g)[1]) for f, g in zip(b["form"], b["form_b"], strict=True)]]
+
     # Equal forms need no window: a hot title has as many entries as it likes, but one row per work on the other side.
     scored = "form string, authors string, year int, work bigint, confidence double"
     equal = written(nodes.join(held, "form").withColumn("form_b", F.col("form")).mapInPandas(score, scored))
     rest = nodes.join(equal.select("form", "authors", "year").distinct(), ["form", "authors", "year"], "left_anti")
     left = rest.select(F.lit(0).alias("side"), "form", "authors", F.col("year").alias("low"), F.col("year").alias("high"))
     pairs = sorted_neighbourhood(left.unionByName(_spans(records, 1)), cross=True)
-    near = pairs.select(F.col("form_a").alias("form"), F.col("authors_a").alias("authors"), F.col("year_a").alias("year"), F.col("form_b")).join(held.withColumnRenamed("form", "form_b"), "form_b").mapInPandas(score, scored)
+    # However many forms lie between an entry's and the record's, rare words in common bring them together; every variant of an entry's form meets what any of them met.
+    forms = written(rest.select("form").distinct())
+    shared = rare_pairs(forms, held.select("form").distinct()).mapInPandas(alike, "form string, form_b string")
+    met = pairs.select(F.col("form_a").alias("form"), "form_b").unionByName(shared).distinct()
+    near = met.join(rest, "form").join(held.withColumnRenamed("form", "form_b"), "form_b").mapInPandas(score, scored)
     every = equal.unionByName(near)
     best = every.groupBy("form", "authors", "year").agg(F.max_by(F.struct("work", "confidence"), F.struct("confidence", "work")).alias("best")).select("form", "authors", "year", "best.*")
     cited = entries.join(best, ["form", "authors", "year"]).select(F.col("id").alias("citation_id"), "work", "confidence")

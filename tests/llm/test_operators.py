@@ -97,6 +97,16 @@ def test_matches(spark):
     assert linkage.matches(c, registry(spark).limit(0)).count() == 0 and linkage.matches(c.limit(0), registry(spark)).count() == 0
 
 
+def test_matches_of_much_cited_work(spark):
+    # Many variants of one form, and many forms, lie between entry and record in every sort.
+    t = "Revisiting emperors after Hihostton: unstable colonies reconsidered"
+    entries = [(i, t.replace("unstable", "unstabel"), [f"Author{chr(97 + i % 26)}{chr(97 + i // 26)}"], 1900 + i, None, None) for i in range(60)]
+    entries += [(100 + i, t.replace("Revisiting", "Revisiting"[: i % 8 + 1] + "x" + "Revisiting"[i % 8 + 1 :]).replace("reconsidered", "reconsidered"[: i // 8 + 1] + "y" + "reconsidered"[i // 8 + 1 :]), [], None, None, None) for i in range(64)]
+    c = spark.createDataFrame([*entries, (900, t.replace("unstable", "unstabel"), ["Viggo Talmimmudro"], 2010, None, None)], "citation_id bigint, title string, authors array<string>, year int, doi string, arxiv_id string")
+    got = {tuple(r)[:2] for r in linkage.matches(c, registry(spark)).collect()}
+    assert got >= {(i, r) for i in [*range(100, 164), 900] for r in (1, 2, 3)}
+
+
 def test_copying_is_found():
     rng = random.Random(0)
     patterns = defaultdict(int)
