@@ -242,6 +242,52 @@ def test_few_replaced_words_hide_no_run():
     assert not lost
 
 
+@pytest.mark.parametrize("copies", [1, 2, 3, 5])
+def test_near_copies_of_items_hide_nothing(copies):
+    # Items held several times with small changes of their own, passages with two words replaced.
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice(["bal", "dor", "kim", "lus", "nem", "pir", "sov", "tak"]) for _ in range(4))
+    base = [f"In the {name()} ledger {name()} precede {name()} treaties and {name()} mounds come {rng.randrange(300)} lines later while {name()} is marked remote by a warden at {name()}" for _ in range(60)]
+    items = {100 * i + c: leakage.tokens(f"{t} edition {name()}") for i, t in enumerate(base) for c in range(copies)}
+    index = leakage.Index(leakage.Rules(stock_share=0.9), items)
+    found = 0
+    for i, t in enumerate(base):
+        w = leakage.tokens(t)
+        for x in rng.sample(range(1, len(w) - 1), 2):
+            w[x] = "zzzz"
+        words = ["before"] * rng.randrange(40) + w + ["after"] * 40
+        hits = {index.ids[k] for k, at in index.candidates([words])[0].items() if any(index.holds(words[max(s - 16, 0) : s + 48], k) for s in at)}
+        found += {100 * i + c for c in range(copies)} <= hits
+    assert found == 60
+
+
+def test_candidates_against_brute_force():
+    # Every item at or above its threshold in a passage, and no other.
+    rng = random.Random(10)
+    pool = [f"w{chr(97 + i)}" for i in range(14)]
+    items = {i: [rng.choice(pool) for _ in range(rng.randint(16, 30))] for i in range(50)}
+    index = leakage.Index(leakage.Rules(block=4, known=0.3), items)
+    assert sum(index.threshold > 0) == 50
+    docs = [[rng.choice([*pool, "other"]) for _ in range(rng.randint(0, 120))] for _ in range(30)]
+    got = {(d, k, at) for d, by in index.candidates(docs).items() for k, starts in by.items() for at in starts}
+    terms = {}
+    for k, t in zip(index.pair_key.tolist()[:-1], index.pair_term.tolist()[:-1], strict=True):
+        terms[divmod(k, len(index.words))] = t
+    part = defaultdict(float)
+    for t in terms.values():
+        for b in range(index.term_start[t], index.term_start[t + 1]):
+            for x in range(index.block_start[b], index.block_start[b + 1]):
+                part[t, int(index.posting[x])] = float(index.impact[x])
+    want = set()
+    for d, w in enumerate(docs):
+        for at in range(0, len(w) if len(w) >= 16 else 0, 16):
+            own = [terms.get((index.words.get(a, -1), index.words.get(b, -1))) for a, b in zip(w[at : at + 32], w[at + 1 : at + 33], strict=False)]
+            for k in range(50):
+                if sum(part.get((t, k), 0) for t in own) >= index.threshold[k]:
+                    want.add((d, k, at))
+    assert got == want and got
+
+
 # 9 subjects
 def test_subjects(spark):
     rng = random.Random(4)
