@@ -6,9 +6,10 @@ found by orthogonal iteration, one pass over the documents each, in which
 executors add up blocks of a (terms x rank) matrix, so what travels is bounded
 by the vocabulary. Labelled documents give a seed centroid for each subject and
 language; the centroids are refined by assigning all documents by cosine
-similarity and averaging again. A term speaks for a subject if its own vector is
-much closer to a centroid of that subject than to any other subject's. Each
-sentence goes to the subject its terms speak for most, and a document deals with
+similarity and averaging again. Sentences are embedded in the same space by
+their telling terms - those whose own vector is much closer to a centroid of one
+subject than to any other subject's - and go to the subject of the centroid of
+highest cosine, if it is clearly above the next subject's. A document deals with
 the subjects that at least a third of its sentences are about.
 
 The vocabulary holds terms in at least ``min_share`` of the documents, so its
@@ -29,15 +30,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import written
 
 _REFERENCES = re.compile(r"(?im)^[\s#*]*(?:references?|bibliography|works cited|literatur|références|bibliografía|referencias)\s*:?\s*$")
-_ASIDE = re.compile(r"(?m)^\s*(?:#.*|-- .*)$|^\s*(?:USER|ASSISTANT|SYSTEM):|<[^<>\n]{1,40}>|\([^()\n]{0,80}\d{4}[a-z]?\)|\[\d+\]")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_LINE = re.compile(r"(?m)^[^\S\n]*(?:#.*|-- .*|(?:USER|ASSISTANT|SYSTEM):)")
+_ASIDE = re.compile(r"<[^<>\n]{1,40}>|\([^()\n]{0,80}\d{4}[a-z]?\)|\[\d+\]")
+_SENTENCE = re.compile(r"[.!?]\s|\n")
+_TERM, _ASCII_TERM = re.compile(r"[^\W\d_]{3,}"), re.compile(r"[a-z]{3,}")
 
 
 @dataclass(frozen=True)
@@ -51,12 +54,17 @@ class Rules:
     max_share: float = 0.08
     #: A document takes part in a refinement if its best subject's cosine is above sure and twice the next one's.
     sure: float = 0.15
-    #: A term speaks for a subject from this cosine on, if it is `lead` times the next subject's.
+    #: A term tells of a subject from the cosine `speaks` on, if it is `telling` times the next subject's; a sentence goes to one from the same cosine on, if it is `clear` times the next.
     speaks: float = 0.12
+    telling: float = 3.0
+    clear: float = 1.5
+    #: A frequent term is uneven if one subject's labelled texts hold it `lead` times as often as the others.
     lead: float = 2.0
     #: Share of the sentences that makes a subject.
     share: float = 1 / 3
     block: int = 512
+    #: Terms per document over min_share bounds the vocabulary; checked, as it goes to every executor.
+    max_terms: int = 400_000
 
 
 def sentences(text: str | None) -> str:
@@ -65,7 +73,10 @@ def sentences(text: str | None) -> str:
         return ""
     found = _REFERENCES.search(text)
     text = text[: found.start()] if found else text
-    lines = (" ".join(_TERM.findall(s)) for s in _SENTENCE.split(_ASIDE.sub("\n" if "\n" in text else " ", text).lower()))
+    gap = "\n" if "\n" in text else " "
+    low = _ASIDE.sub(gap, _LINE.sub(gap, text)).lower()
+    terms = (_ASCII_TERM if low.isascii() else _TERM).findall
+    lines = (" ".join(terms(s)) for s in _SENTENCE.split(low))
     return "\n".join(x for x in lines if x)
 
 
@@ -86,35 +97,52 @@ def _weighted(column: pd.Series, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, term, (weight / np.maximum(norm[row], 1e-12)).astype(np.float32)
 
 
-def _vectors(column: pd.Series, idf: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Rows times basis, a few rows at a time."""
-    row, term, weight = _weighted(column, idf)
+def _matrices(column: pd.Series, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A few rows at a time: the first row's number, the terms they hold, and the rows' weights of these terms."""
+    for a in range(0, len(column), 256):
+        part = column.iloc[a : a + 256]
+        row, term, weight = _weighted(part, idf)
+        own, place = np.unique(term, return_inverse=True)
+        dense = np.zeros((len(part), len(own)), np.float32)
+        dense[row, place] = weight
+        yield a, own, dense
+
+
+def _vectors(column: pd.Series, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Rows times basis."""
     out = np.zeros((len(column), basis.shape[1]), np.float32)
-    if len(row):
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        for a in range(0, len(starts), 256):
-            lo, hi = starts[a], starts[a + 256] if a + 256 < len(starts) else len(row)
-            out[row[starts[a : a + 256]]] = np.add.reduceat(basis[term[lo:hi]] * weight[lo:hi, None], starts[a : a + 256] - lo, axis=0)
-    return out, (row, term, weight)
+    for a, own, dense in _matrices(column, idf):
+        out[a : a + len(dense)] = dense @ basis[own]
+    return out
+
+
+#: Parts that are added up in one group; more of them are added up in several rounds.
+FAN = 64
 
 
 def _summed(parts: DataFrame, shape: tuple[int, int], block: int) -> np.ndarray:
-    """The sum of blocks (block INT, data BINARY) over all tasks; the driver gets one matrix."""
+    """The sum of blocks (part INT, block INT, data BINARY) over all tasks; the driver gets one matrix."""
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["data"])
-        return pd.DataFrame({"block": [key[0]], "data": [total.astype(np.float32).tobytes()]})
-
+        total = np.zeros(len(pdf["data"].iloc[0]) // 4, np.float64)
+        for x in pdf["data"]:
+            total += np.frombuffer(x, np.float32)
+        return pd.DataFrame({"part": [key[0]], "block": [key[1]], "data": [total.astype(np.float32).tobytes()]})
+
+    tasks = parts.rdd.getNumPartitions()
+    while tasks > 1:
+        tasks = -(-tasks // FAN)
+        parts = parts.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("part", "block").applyInPandas(add, "part int, block int, data binary")
     out = np.zeros(shape, np.float64)
-    for r in parts.groupBy("block").applyInPandas(add, "block int, data binary").collect():
-        part = np.frombuffer(r.data, np.float32).reshape(-1, shape[1])
-        out[r.block * block : r.block * block + len(part)] = part
+    for r in parts.collect():
+        data = np.frombuffer(r.data, np.float32).reshape(-1, shape[1])
+        out[r.block * block : r.block * block + len(data)] = data
     return out
 
 
 def _blocks(matrix: np.ndarray, block: int) -> pd.DataFrame:
     rows = range(0, len(matrix), block)
-    return pd.DataFrame({"block": np.arange(len(rows), dtype=np.int32), "data": [matrix[r : r + block].astype(np.float32).tobytes() for r in rows]})
+    return pd.DataFrame({"part": np.int32(TaskContext.get().partitionId()), "block": np.arange(len(rows), dtype=np.int32), "data": [matrix[r : r + block].astype(np.float32).tobytes() for r in rows]})
 
 
 def decompose(encoded: DataFrame, idf: np.ndarray, rules: Rules) -> np.ndarray:
@@ -129,15 +157,11 @@ def decompose(encoded: DataFrame, idf: np.ndarray, rules: Rules) -> np.ndarray:
             idf, basis = shared.value
             total = np.zeros(basis.shape, np.float32)
             for b in batches:
-                for a in range(0, len(b), 512):
-                    x, (row, term, weight) = _vectors(b["terms"].iloc[a : a + 512], idf, basis)
-                    if len(row):
-                        by = np.argsort(term, kind="stable")
-                        starts = np.flatnonzero(np.r_[True, np.diff(term[by]) > 0])
-                        total[term[by][starts]] += np.add.reduceat(x[row[by]] * weight[by, None], starts, axis=0)
+                for _, own, dense in _matrices(b["terms"], idf):
+                    total[own] += dense.T @ (dense @ basis[own])
             yield _blocks(total, rules.block)
 
-        product = _summed(encoded.select("terms").mapInPandas(power, "block int, data binary"), basis.shape, rules.block)
+        product = _summed(encoded.select("terms").mapInPandas(power, "part int, block int, data binary"), basis.shape, rules.block)
         basis = np.linalg.qr(product)[0].astype(np.float32)
         shared.unpersist()
     return basis
@@ -184,7 +208,7 @@ def refine(vectors: DataFrame, seeds: DataFrame, names: list[str], rules: Rules)
                 np.add.at(sums, cosine.argmax(axis=1)[sure], x[sure])
             yield _blocks(sums, rules.block)
 
-        sums = _summed(vectors.select("vec").mapInPandas(assign, "block int, data binary"), centroids.shape, rules.block)
+        sums = _summed(vectors.select("vec").mapInPandas(assign, "part int, block int, data binary"), centroids.shape, rules.block)
         centroids = unit(sums + 1e-6 * centroids)
         shared.unpersist()
     return owners, centroids
@@ -236,7 +260,9 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     distinct = bodies.select(F.xxhash64("text")).distinct().count()
     texts = bodies.groupBy("text").agg(F.count("*").alias("copies"))
     counted = texts.select("copies", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("term")).groupBy("term").agg(F.sum("copies").alias("docs"), F.count("*").alias("texts"))
-    kept = counted.where(F.col("docs") >= max(rules.min_docs, rules.min_share * n)).collect()
+    kept = counted.where(F.col("docs") >= max(rules.min_docs, rules.min_share * n)).limit(rules.max_terms + 1).collect()
+    if len(kept) > rules.max_terms:
+        raise ValueError(f"more than {rules.max_terms} terms in {rules.min_share:.2%} of the documents: raise Rules.max_terms once the basis is known to fit the executors")
     left_out = general(bodies, seeds, sorted(r.term for r in kept if r.texts > max(rules.max_share * distinct, rules.min_docs)), rules)
     kept = sorted((r for r in kept if r.term not in left_out), key=lambda r: r.term)
     if not kept:
@@ -265,7 +291,7 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, basis = space.value
         for b in batches:
-            x, _ = _vectors(b["terms"], idf, basis)
+            x = _vectors(b["terms"], idf, basis)
             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"].astype(object), "vec": [v.tobytes() for v in x]})
 
@@ -280,21 +306,34 @@ def subject_areas(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     by = np.stack([cosine[:, owner == s].max(axis=1, initial=0) for s in range(len(names))], axis=1)
     order = np.sort(by, axis=1)
     second = order[:, -2] if by.shape[1] > 1 else 0
-    voice = np.where(((order[:, -1] > rules.speaks) & (order[:, -1] > rules.lead * second))[:, None], by, 0) * idf[:, None]
-    table = spark.sparkContext.broadcast((voice.astype(np.float32), [spelt[x] for x in names]))
+    tells = (order[:, -1] > rules.speaks) & (order[:, -1] > rules.telling * second)
+    # What a term adds to its sentence's vector; terms that tell of no subject add nothing.
+    place = np.where(tells, np.cumsum(tells) - 1, -1)
+    table = spark.sparkContext.broadcast((place, (basis * idf[:, None])[tells].astype(np.float32), centroids.astype(np.float32), owner, [spelt[x] for x in names]))
 
     def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voice, spelt = table.value
+        place, adds, centroids, owner, spelt = table.value
         for b in batches:
             terms, _ = _batches(b["terms"])
             sizes, row = _batches(b["sizes"])
-            which = np.repeat(np.arange(len(sizes)), sizes)
-            scores = np.stack([np.bincount(which, voice[terms, s], len(sizes)) for s in range(voice.shape[1])], axis=1)
-            best = np.where(scores.max(axis=1, initial=0) > 0, scores.argmax(axis=1), -1)
+            told = place[terms]
+            sentence = np.repeat(np.arange(len(sizes)), sizes)[told >= 0]
+            told = told[told >= 0]
+            starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(told) else np.zeros(0, np.int64)
+            best = np.full(len(sizes), -1)
+            for a in range(0, len(starts), 4096):
+                own = starts[a : a + 4096]
+                end = starts[a + 4096] if a + 4096 < len(starts) else len(told)
+                x = np.add.reduceat(adds[told[own[0] : end]], own - own[0], axis=0)
+                cosine = x @ centroids.T / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+                by = np.stack([cosine[:, owner == s].max(axis=1, initial=-1) for s in range(len(spelt))], axis=1)
+                order = np.sort(by, axis=1)
+                second = order[:, -2] if len(spelt) > 1 else 0
+                best[sentence[own]] = np.where((order[:, -1] > rules.speaks) & (order[:, -1] > rules.clear * second), by.argmax(axis=1), -1)
             total = np.bincount(row, minlength=len(b))
-            for s in range(voice.shape[1]):
+            for s, name in enumerate(spelt):
                 part = np.bincount(row[best == s], minlength=len(b)) / np.maximum(total, 1)
                 hit = part >= rules.share - 1e-9
-                yield pd.DataFrame({"doc_id": b["doc_id"][hit], "subject": spelt[s], "share": part[hit]})
+                yield pd.DataFrame({"doc_id": b["doc_id"][hit], "subject": name, "share": part[hit]})
 
     return encoded.select("doc_id", "terms", "sizes").mapInPandas(shares, "doc_id bigint, subject string, share double")
