@@ -173,12 +173,15 @@ def is_refusal(text: str) -> bool:
 
 def is_copy(prompt: str, text: str) -> bool:
     """True if nothing is left of the text once the prompt, its repeats and a lead-in of up to four words are taken out."""
-    # A copy holds the prompt's first words about as often as the prompt fits into it.
-    head = " ".join(prompt.split()[:2]).casefold()
-    if len(text) > 6 * len(prompt) + 200 and " ".join(_plain(text).split()).count(head) * 3 * len(prompt) < len(text):
+    p = words(prompt)
+    if len(p) < 3:
         return False
-    p, t = words(prompt), words(text)
-    if len(p) < 3 or not t:
+    # Whatever its length, a copy has six words at most that the prompt has not; its beginning mostly tells.
+    own, start = set(p), words(text[:600])[:-1]
+    if sum(w not in own for w in start) > 6:
+        return False
+    t = words(text)
+    if not t:
         return False
     left = f" {' '.join(t)} "
     whole = f" {' '.join(p)} "
@@ -207,21 +210,29 @@ def is_other_language(prompt: str, text: str) -> bool:
     return sure > 0.04 and margin > 0.06
 
 
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def unclosed(text: str) -> bool:
+    """True if a bracket is opened and not closed."""
+    opened = 0
+    for c in _BRACKET.findall(text):
+        opened = opened + 1 if c in "([{" else max(opened - 1, 0)
+    return opened > 0
+
+
 def is_truncated(text: str) -> bool:
-    found = _REFERENCES.search(text)
-    if found and re.search(r"\w", text[found.end() :]):
-        return False  # a closing bibliography ends as its style has it
-    t = text.translate(dict.fromkeys(map(ord, INVISIBLE))).rstrip()
+    t = text if text.isascii() else text.translate(dict.fromkeys(map(ord, INVISIBLE)))
+    t = t.rstrip()
     if not t:
         return False
     if t.count("```") % 2:
         return True
-    tail = t[-2000:]
-    opened = 0
-    for c in tail[max(tail.rfind("\n\n"), 0) :]:
-        opened += (c in "([{") - (c in ")]}")
-        opened = max(opened, 0)
-    if opened:
+    found = _REFERENCES.search(t)
+    if found and re.search(r"\w", t[found.end() :]):
+        # a closing bibliography ends as its style has it, but not within brackets
+        return unclosed(t[t.rfind("\n") + 1 :])
+    if unclosed(t[max(t.rfind("\n\n"), 0) :]):
         return True
     lines = [x for x in t.split("\n") if x.strip()]
     last = lines[-1].strip()
