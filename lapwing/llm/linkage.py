@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import INVISIBLE, LOOKALIKES, partitions, written
+from lapwing.llm.common import INVISIBLE, LOOKALIKES, components, partitions, written
 from lapwing.llm.names import osa
 
 WINDOW = 10
@@ -335,24 +335,6 @@ def rare_pairs(entries: DataFrame, records: DataFrame) -> DataFrame:
     return keys(words(entries), RARE + 1).join(keys(held, RARE).withColumnRenamed("form", "form_b"), "key").select("form", "form_b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) of every vertex of edges(a, b): root is the smallest vertex that can be reached.
-
-    Labels move along the edges and then to the label's own label, so a chain
-    shrinks by half each round; rounds end when no label changes.
-    """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("r"))
-        moved = labels.join(near, "v").select("v", F.col("root").alias("was"), F.least("root", "r").alias("root"))
-        jump = labels.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        new = written(moved.join(jump, "root", "left").select("v", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
-        labels = new.select("v", "root")
-        if new.where("root <> was").isEmpty():
-            return labels
-
-
 def comparable(df: DataFrame, id_col: str) -> DataFrame:
     """(id, form, authors, year) of rows; form is null without a title."""
     return df.select(F.col(id_col).alias("id"), title_form(F.col("title")).alias("form"), author_words(F.col("authors")).alias("authors"), year_form(F.col("year")).alias("year"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import visible, written
+from lapwing.llm.common import components, visible, written
 
 #: Words of organisations and their usual abbreviations.
 ORG_WORDS = frozenset(
@@ -156,7 +156,7 @@ def segment_join(parts: DataFrame, long: int = 16) -> DataFrame:
     # Segment i of a part of n letters cut into k + 1: the last n % (k + 1) are one letter longer.
     size = "(n div (k + 1) + IF(i >= k + 1 - n % (k + 1), 1, 0))"
     start = "(i * (n div (k + 1)) + greatest(0, i - (k + 1 - n % (k + 1))) + 1)"
-    own = parts.select("field", "part", F.length("part").alias("m")).where("m >= IF(field = 'given', 3, 6)")
+    own = parts.select("field", "part", F.length("part").alias("m")).where("m >= 3")
     index = (
         own.withColumn("n", F.col("m"))
         .withColumn("k", F.expr(k))
@@ -180,13 +180,15 @@ def segment_join(parts: DataFrame, long: int = 16) -> DataFrame:
     return close.unionByName(close.select("field", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def spelling(parts: DataFrame, given_lead: float = 3.0) -> DataFrame:
-    """(field, part, spelt): the most widely used neighbour of each misspelt part; parts(field, part, df)."""
+def spelling(parts: DataFrame, given_lead: float = 3.0, short: int = 6) -> DataFrame:
+    """(field, part, spelt): the most widely used neighbour of each misspelt part; parts(field, part, df). Given names and parts of fewer than `short` letters give way only to a neighbour used given_lead times as much."""
     links = segment_join(parts.select("field", "part"))
     right = parts.select("field", F.col("part").alias("b"), F.col("df").alias("df_b"))
     scored = links.join(parts.select("field", F.col("part").alias("a"), F.col("df").alias("df_a")), ["field", "a"]).join(right, ["field", "b"])
-    # A common given name is no misspelling of another common one.
-    better = scored.where(F.when(F.col("field") == "given", F.col("df_b") >= given_lead * F.col("df_a")).otherwise((F.col("df_b") > F.col("df_a")) | (F.col("df_b") == F.col("df_a")) & (F.col("b") < F.col("a"))))
+    # A common given name is no misspelling of another common one, nor is a short surname, unless only two neighbours are swapped.
+    swapped = (F.length("a") == F.length("b")) & (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")))
+    guarded = (F.col("field") == "given") | (F.least(F.length("a"), F.length("b")) < short) & ~swapped
+    better = scored.where(F.when(guarded, F.col("df_b") >= given_lead * F.col("df_a")).otherwise((F.col("df_b") > F.col("df_a")) | (F.col("df_b") == F.col("df_a")) & (F.col("b") < F.col("a"))))
     best = written(better.groupBy("field", F.col("a").alias("part")).agg(F.max_by("b", F.struct("df_b", F.col("b"))).alias("spelt")))
     onward = best.select("field", F.col("part").alias("spelt"), F.col("spelt").alias("next"))
     return best.join(onward, ["field", "spelt"], "left").select("field", "part", F.coalesce("next", "spelt").alias("spelt"))
@@ -308,8 +310,8 @@ def group_orgs(rows: list[tuple[str, list[str], str]]) -> list[list[str]]:
     return list(out.values())
 
 
-def variants(names: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b, of all names(name, uses) of one person or organisation."""
+def _blocks(names: DataFrame) -> DataFrame:
+    """Names by the blocks in which they meet, with their parts."""
     parts = written(parsed(names))
     each = parts.select("name", F.explode(F.expr("filter(array(struct('given' AS field, given AS part, -1 AS at), struct('surname' AS field, surname AS part, -2 AS at)), x -> x.part <> '')")).alias("x")).unionByName(
         parts.where("kind = 'org'").select("name", F.posexplode("words").alias("at", "part")).select("name", F.struct(F.lit("surname").alias("field"), "part", "at").alias("x"))
@@ -339,15 +341,41 @@ def variants(names: DataFrame) -> DataFrame:
     shorts = whole.where("kind = 'short'").select("name", "uses", F.array("caps").alias("words"), F.col("surname").alias("core"), F.col("surname").alias("block"))
     orgs = orgs.unionByName(shorts).select(F.lit("org").alias("kind"), "name", "uses", F.lit("").alias("given"), F.lit("").alias("spelt"), F.lit("").alias("middle"), "words", "core", F.lit("").alias("initial"), "block")
 
-    def entities(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] == "person":
-            groups = group_persons(list(zip(pdf["name"], pdf["uses"], pdf["given"], pdf["spelt"], pdf["middle"], strict=True)))
-        else:
-            groups = group_orgs([(n, list(w), c) for n, w, c in zip(pdf["name"], pdf["words"], pdf["core"], strict=True)])
-        pairs = [(a, b) for g in groups for g in [sorted(set(g))] for i, a in enumerate(g) for b in g[i + 1 :]]
-        return pd.DataFrame({"name_a": [a for a, _ in pairs], "name_b": [b for _, b in pairs]}, dtype=object)
+    return persons.unionByName(orgs)
+
+
+def _groups(key: tuple, pdf: pd.DataFrame) -> list[list[str]]:
+    """Entities of a block, the names of each in order."""
+    if key[0] == "person":
+        groups = group_persons(list(zip(pdf["name"], pdf["uses"], pdf["given"], pdf["spelt"], pdf["middle"], strict=True)))
+    else:
+        groups = group_orgs([(n, list(w), c) for n, w, c in zip(pdf["name"], pdf["words"], pdf["core"], strict=True)])
+    return [sorted(set(g)) for g in groups]
+
+
+def variants(names: DataFrame) -> DataFrame:
+    """(name_a, name_b), name_a < name_b, of all names(name, uses) of one person or organisation."""
+
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [(a, b) for g in _groups(key, pdf) for i, a in enumerate(g) for b in g[i + 1 :]]
+        return pd.DataFrame({"name_a": [a for a, _ in found], "name_b": [b for _, b in found]}, dtype=object)
+
+    return _blocks(names).groupBy("kind", "block", "initial").applyInPandas(pairs, "name_a string, name_b string").distinct()
+
+
+def classes(names: DataFrame) -> DataFrame:
+    """(name, entity) of all names(name, uses) with a variant: one row per name, entity is the smallest name that can be reached by links.
+
+    Links leave a block as a star around its entity's first name, so their number
+    is that of the names, however many spellings one entity has.
+    """
+
+    def star(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [(g[0], n) for g in _groups(key, pdf) for n in g[1:]]
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
 
-    return persons.unionByName(orgs).groupBy("kind", "block", "initial").applyInPandas(entities, "name_a string, name_b string").distinct()
+    links = _blocks(names).groupBy("kind", "block", "initial").applyInPandas(star, "a string, b string")
+    return components(links).withColumnsRenamed({"v": "name", "root": "entity"})
 
 
 def author_names(*tables: DataFrame, column: str = "authors") -> DataFrame:

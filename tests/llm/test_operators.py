@@ -28,6 +28,14 @@ def test_names(spark):
     assert names.variants(df.limit(0)).count() == 0
 
 
+def test_short_names_and_classes(spark):
+    df = spark.createDataFrame([(n, 1) for n in ["John Smith", "John Smiht", "John Lee", "John Leo", "Anna Smithson", "Anna Smihtson", "Anna Smitson"]], "name string, uses bigint")
+    got = {tuple(r) for r in names.variants(df).collect()}
+    assert ("John Smith", "John Smiht")[::-1] in got and ("John Lee", "John Leo") not in got
+    assert {(r.name, r.entity) for r in names.classes(df).collect()} == {(n, "Anna Smihtson") for n in ("Anna Smithson", "Anna Smihtson", "Anna Smitson")} | {(n, "John Smiht") for n in ("John Smith", "John Smiht")}
+    assert names.classes(df.limit(0)).count() == 0
+
+
 def test_author_names_of_odd_tables(spark):
     t = spark.createDataFrame([(["A B", None, " "], 1), (None, 2), ([], 3)], "authors array<string>, name int")
     assert rows(names.author_names(t, t.limit(0))) == [("A B", 1)]
@@ -135,6 +143,21 @@ def test_defects(prompt, text, want):
     assert broken_pairs.defects(prompt, text) == want
 
 
+@pytest.mark.parametrize("times", [1, 2, 5, 20, 60])
+def test_copies_of_any_length(times):
+    assert "copy" in broken_pairs.defects("Draft an overview of tin mines", "Draft an **overview** of tin mines\n\n" * times)
+
+
+@pytest.mark.parametrize("far", [10, 1900, 2600, 90_000])
+def test_open_brackets_at_any_distance(far):
+    assert broken_pairs.defects("Tell me of tin", "Tin is old (see Smith " + "and more " * (far // 9) + "end.") == ["truncated"]
+    assert broken_pairs.defects("Tell me of tin", "Tin is old (see Smith) " + "and more " * (far // 9) + "end.") == []
+
+
+def test_bibliography_cut_within_brackets():
+    assert broken_pairs.defects("Tell me of tin", "Tin is old.\n\nReferences\n[1] A. Smith (1999). Tin.\n[2] B. Jones (19") == ["truncated"]
+
+
 def test_broken_pairs_table(spark):
     df = spark.createDataFrame([(1, "p", None, "x"), (1, "p", None, "y"), (2, "a b c", "Fine.", "z")], "doc_id bigint, user_prompt string, generated_text string, defects string")
     assert rows(broken_pairs.first_defect(broken_pairs.broken_pairs(df))) == [(1, "empty")]
