@@ -51,10 +51,19 @@ def written(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of edges(a, b): root is the smallest vertex that can be reached.
 
-    Labels move along the edges and then to the label's own label, so a chain
-    shrinks by half each round; rounds end when no label changes.
+    First every vertex joins its smallest neighbour, after which only the edges
+    between different ones of these are left: where most components are stars,
+    few. On those, labels move along the edges and then to the label's own
+    label, so a chain shrinks by half each round; rounds end when no label
+    changes.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    first = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("root")))
+    ends = both.where("a < b").join(first.withColumnsRenamed({"v": "a", "root": "x"}), "a").join(first.withColumnsRenamed({"v": "b", "root": "y"}), "b")
+    left = written(ends.where("x <> y").select("x", "y").distinct())
+    if left.isEmpty():
+        return first
+    both = written(left.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(left.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("root")))
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("r"))
@@ -63,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(moved.join(jump, "root", "left").select("v", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
         labels = new.select("v", "root")
         if new.where("root <> was").isEmpty():
-            return labels
+            return first.join(labels.withColumnsRenamed({"v": "root", "root": "far"}), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -214,7 +214,10 @@ def _signatures(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_pairs(rows: pd.DataFrame, first: int, cross: bool) -> list[tuple]:
-    """Confident pairs of rows of one sort key within the window, whose later row is `first` or behind; cross: entries against records only."""
+    """Confident pairs of rows of one sort key within the window, whose later row is `first` or behind; cross: entries against records only, by title alone.
+
+    Rows with a column `pos` stand that far apart, and those of one `part` have met.
+    """
     n = len(rows)
     forms, authors = rows["form"].tolist(), rows["authors"].tolist()
     low, high = rows["low"].tolist(), rows["high"].tolist()
@@ -231,25 +234,32 @@ def _window_pairs(rows: pd.DataFrame, first: int, cross: bool) -> list[tuple]:
         if cross:
             ok &= side[:-d] != side[d:]
         ok[: max(first - d, 0)] = False
+        if "pos" in rows:
+            pos, part = rows["pos"].to_numpy(), rows["part"].to_numpy()
+            ok &= (pos[d:] - pos[:-d] <= WINDOW) & (part[:-d] != part[d:])
         for i in np.flatnonzero(ok).tolist():
             a, b = (i, i + d) if side[i] <= side[i + d] else (i + d, i)
-            if forms[a] != forms[b] or cross:
-                c = confidence((forms[a], authors[a], low[a], high[a]), (forms[b], authors[b], low[b], high[b]))
-                if c >= THRESHOLD:
-                    out.append((forms[a], forms[b], authors[a], low[a], c))
+            if cross:
+                # Authors and years are compared later, as a form may come with several.
+                c = title_similarity(forms[a], forms[b])[0]
+            else:
+                c = confidence((forms[a], authors[a], low[a], high[a]), (forms[b], authors[b], low[b], high[b])) if forms[a] != forms[b] else 0.0
+            if c >= THRESHOLD or cross and c:
+                out.append((forms[a], forms[b]))
     return out
 
 
-_PAIRS = "form_a string, form_b string, authors_a string, year_a int, confidence double"
-_PAIR_COLUMNS = ["form_a", "form_b", "authors_a", "year_a", "confidence"]
+_PAIRS = "form_a string, form_b string"
+_PAIR_COLUMNS = ["form_a", "form_b"]
 
 
-def sorted_neighbourhood(forms: DataFrame, cross: bool, common_share: float = 0.001) -> DataFrame:
-    """Confident pairs among forms(side, form, authors, low, high), with the authors and year of the first.
+def sorted_neighbourhood(forms: DataFrame, cross: bool, common_share: float = 0.001, rows_apart: int = 40 * WINDOW) -> DataFrame:
+    """(form_a, form_b) of the confident pairs among forms(side, form, authors, low, high), one row per side and form.
 
-    cross: only pairs of side 0 (entries) with side 1 (records). Words in more
+    cross: pairs of side 0 (entries) with side 1 (records) only, by their titles. Words in more
     than common_share of the forms - by that share a few thousand at most - come
-    behind the others in the second sort key.
+    behind the others in the second sort key. A partition holds rows_apart rows or
+    more on average.
     """
     spark = forms.sparkSession
     rows = written(forms.select(*_COLUMNS))
@@ -272,43 +282,46 @@ def sorted_neighbourhood(forms: DataFrame, cross: bool, common_share: float = 0.
                 yield out[out["key"] != ""] if sort == 2 else out
 
     sides = "side int, form string, authors string, low int, high int, sort int"
-    n = max(1, min(partitions(spark), 4 * total // (40 * WINDOW)))
-    placed = rows.mapInPandas(keyed, sides + ", key string").repartitionByRange(n, "sort", "key").sortWithinPartitions("sort", "key", "side").drop("key")
+    n = max(1, min(partitions(spark), 4 * total // rows_apart))
+    # All columns order the rows, so that the neighbours are the same however many partitions there are.
+    placed = rows.mapInPandas(keyed, sides + ", key string").repartitionByRange(n, "sort", "key").sortWithinPartitions("sort", "key", "side", "form", "authors", "low", "high").drop("key")
     columns = [*_COLUMNS, "sort"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
+        part, seen = TaskContext.get().partitionId(), 0
+        head: pd.DataFrame | None = None
         tail: pd.DataFrame | None = None
 
         def out(frame: pd.DataFrame, **fixed) -> pd.DataFrame:
             frame = frame.assign(**fixed)
-            return pd.DataFrame({c: frame[c].astype(object) if c in frame else None for c in ["border", "at", *columns, *_PAIR_COLUMNS]})
+            return pd.DataFrame({c: frame[c].astype(object) if c in frame else None for c in ["part", "at", "size", *columns, *_PAIR_COLUMNS]})
 
         for b in batches:
             if not len(b):
                 continue
-            if tail is None:
-                yield out(b.head(WINDOW), border=part - 1, at=np.arange(min(len(b), WINDOW)) + WINDOW)
+            b = b.assign(at=np.arange(seen, seen + len(b)))
+            seen += len(b)
+            head = b.head(WINDOW) if head is None else pd.concat([head, b.head(WINDOW - len(head))], ignore_index=True) if len(head) < WINDOW else head
             rows = b if tail is None else pd.concat([tail, b], ignore_index=True)
             pairs = _window_pairs(rows, 0 if tail is None else len(tail), cross)
             if pairs:
-                yield out(pd.DataFrame(pairs, columns=_PAIR_COLUMNS), border=-9, at=0)
+                yield out(pd.DataFrame(pairs, columns=_PAIR_COLUMNS), part=-1)
             tail = rows.tail(WINDOW).reset_index(drop=True)
-        if tail is not None:
-            yield out(tail, border=part, at=np.arange(len(tail)))
+        if head is not None:
+            yield out(pd.concat([head, tail]).drop_duplicates("at"), part=part, size=seen)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable").reset_index(drop=True)
-        before = int((pdf["at"] < WINDOW).sum())
-        # Pairs behind the border were found there already; finding some again does no harm.
-        pairs = _window_pairs(pdf[columns], before, cross) if 0 < before < len(pdf) else []
-        return pd.DataFrame(pairs, columns=_PAIR_COLUMNS)
-
-    found = written(placed.mapInPandas(scan, f"border int, at int, {sides}, {_PAIRS}"))
-    pairs = found.where("border = -9").select(*_PAIR_COLUMNS)
+        # The first and last rows of all partitions, at most 2 * WINDOW of each, at their places in the whole order.
+        pdf = pdf.sort_values(["part", "at"], kind="stable").reset_index(drop=True)
+        sizes = pdf.groupby("part")["size"].first()
+        pdf["pos"] = pdf["part"].map(sizes.cumsum() - sizes) + pdf["at"]
+        return pd.DataFrame(_window_pairs(pdf, 0, cross), columns=_PAIR_COLUMNS)
+
+    found = written(placed.mapInPandas(scan, f"part int, at long, size long, {sides}, {_PAIRS}"))
+    pairs = found.where("part = -1").select(*_PAIR_COLUMNS)
     if n > 1:
-        pairs = pairs.unionByName(found.where("border > -9").select("border", "at", *columns).groupBy("border").applyInPandas(meet, _PAIRS))
-    return pairs.groupBy("form_a", "form_b", "authors_a", "year_a").agg(F.max("confidence").alias("confidence"))
+        pairs = pairs.unionByName(found.where("part >= 0").select(F.lit(0).alias("every"), "part", "at", "size", *columns).groupBy("every").applyInPandas(meet, _PAIRS))
+    return pairs.distinct()
 
 
 RARE = 4
@@ -394,8 +407,8 @@ def matches(citations: DataFrame, registry: DataFrame) -> DataFrame:
     scored = "form string, authors string, year int, work bigint, confidence double"
     equal = written(nodes.join(held, "form").withColumn("form_b", F.col("form")).mapInPandas(score, scored))
     rest = nodes.join(equal.select("form", "authors", "year").distinct(), ["form", "authors", "year"], "left_anti")
-    left = rest.select(F.lit(0).alias("side"), "form", "authors", F.col("year").alias("low"), F.col("year").alias("high"))
-    pairs = sorted_neighbourhood(left.unionByName(_spans(records, 1)), cross=True)
+    # One row per form on either side: however many authors and years a form comes with, it takes one place in the window.
+    pairs = sorted_neighbourhood(_spans(rest, 0).unionByName(_spans(records, 1)), cross=True)
     # However many forms lie between an entry's and the record's, rare words in common bring them together; every variant of an entry's form meets what any of them met.
     forms = written(rest.select("form").distinct())
     shared = rare_pairs(forms, held.select("form").distinct()).mapInPandas(alike, "form string, form_b string")

@@ -6,9 +6,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
-from lapwing.llm import broken_pairs, form_duplicates, fusion, leakage, linkage, lookalikes, names, packing, subjects
+from lapwing.llm import broken_pairs, common, form_duplicates, fusion, leakage, linkage, lookalikes, names, packing, subjects
 
 LONG = "word " * 40_000
 
@@ -347,7 +346,35 @@ def test_subjects_of_frequent_wording(spark):
     assert got == {(i, s) for i, _, s in docs}
 
 
-def test_results_do_not_depend_on_partitions(spark):
-    r = registry(spark)
-    a, b = (sorted((x.record_id, x.form) for x in linkage.works(r.repartition(n)).select("record_id", "form").distinct().collect()) for n in (1, 5))
-    assert a == b and F is not None
+@pytest.mark.parametrize("cross", [False, True])
+def test_results_do_not_depend_on_partitions(spark, cross):
+    # Range partitions of many or few rows, and of none, find the same neighbours.
+    rng = random.Random(12)
+    base = [" ".join(rng.choice(["tin", "iron", "lead", "zinc", "gold", "copper", "nickel", "cobalt"]) + rng.choice("abcdef") for _ in range(7)) for _ in range(150)]
+    forms = [(k // 150, b if k < 150 else b.replace(b.split()[3], b.split()[3] + "x"), f"author{k % 150:03}", 2000, 2000) for k, b in enumerate(base + base)]
+    df = spark.createDataFrame(sorted(set(forms)), "side int, form string, authors string, low int, high int")
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    real = linkage.partitions
+    try:
+        for n in (1, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append(rows(linkage.sorted_neighbourhood(df, cross)))
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        linkage.partitions = lambda s: 60
+        forced = rows(linkage.sorted_neighbourhood(df, cross, rows_apart=1))
+    finally:
+        linkage.partitions = real
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] and got[0] == got[1] == got[2] == forced
+
+
+def test_components(spark):
+    rng = random.Random(13)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)]
+    root = {v: v for e in edges for v in e}
+    for _ in range(200):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.v: r.root for r in common.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {v: r for v, r in root.items() if any(v in e and e[0] != e[1] for e in edges)}
+    assert common.components(spark.createDataFrame([], "a int, b int")).count() == 0
