@@ -72,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(moved.join(jump, "root", "left").select("v", "was", F.least("root", F.coalesce("far", "root")).alias("root")))
         labels = new.select("v", "root")
         if new.where("root <> was").isEmpty():
-            return first.join(labels.withColumnsRenamed({"v": "root", "root": "far"}), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
+            return first.join(labels.select(F.col("root").alias("far"), F.col("v").alias("root")), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -375,7 +375,7 @@ def classes(names: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
 
     links = _blocks(names).groupBy("kind", "block", "initial").applyInPandas(star, "a string, b string")
-    return components(links).withColumnsRenamed({"v": "name", "root": "entity"})
+    return components(links).select(F.col("v").alias("name"), F.col("root").alias("entity"))
 
 
 def author_names(*tables: DataFrame, column: str = "authors") -> DataFrame:
