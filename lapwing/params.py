@@ -78,8 +78,31 @@ def read_config(path: str | Path) -> dict:
     return merged(read_config(path.parent / parent), own) if parent else own
 
 
+# Where nested configuration files keep each parameter.
+SECTIONS = {
+    "security.sentinel.block_threshold": "block_threshold", "security.melon.cosine_threshold": "cosine_threshold", "security.melon.boundary_token": "boundary", "security.melon.masked_user_prompt": "masked_instruction",
+    "extraction.triplets.min_token_length": "min_part_length", "extraction.uncertainty.high_entropy_threshold": "high_entropy", "extraction.uncertainty.entropy_floor": "entropy_floor", "retrieval.enabled_sources": "sources",
+    "linkage.jaro_winkler.base_threshold": "jw_base", "linkage.jaro_winkler.prefix_scale": "jw_prefix", "linkage.jaro_winkler.suffix_scale": "jw_suffix", "linkage.jaro_winkler.rabin_karp_window": "jw_window", "linkage.field_weights": "weights",
+    "scoring.weights.alpha_inj": "alpha", "scoring.weights.beta_uncertainty": "beta", "scoring.weights.gamma_verification": "gamma", "scoring.policy.auto_apply_min_score": "auto_apply_min_score", "scoring.policy.block_on_injection_prob": "block_on_injection", "scoring.rewrite.forbid_duplicate_keys": "forbid_duplicate_keys",
+}
+
+
+def flattened(own: dict, prefix: str = "") -> dict:
+    """Parameters of a file with nested sections; settings of parts that are not built here are left out, flat names stay."""
+    out = {}
+    for k, v in own.items():
+        path = prefix + k
+        if path in SECTIONS:
+            out[SECTIONS[path]] = tuple(v) if isinstance(v, list) else v
+        elif isinstance(v, dict) and path != "weights":
+            out |= flattened(v, path + ".")
+        elif not prefix:
+            out[k] = v
+    return out
+
+
 def load(path: str | Path) -> Params:
-    own = read_config(path)
+    own = flattened(read_config(path))
     known = {f.name for f in fields(Params)}
     if unknown := set(own) - known:
         raise ValueError(f"unknown parameters: {sorted(unknown)}")

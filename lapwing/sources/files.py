@@ -34,12 +34,13 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     files = read_texts(spark, path)
     entry = files.select("path", F.explode(F.split("text", r"(?m)(?=^\s*@\w+\s*\{)")).alias("e")).where(r"e rlike '^\\s*@\\w+\\s*\\{'")
     head = r"^\s*@(\w+)\s*\{\s*([^,\s]+)\s*,"
-    fields = r"(?s)(\w+)\s*=\s*(?:\{((?:[^{}]|\{[^{}]*\})*)\}|\"([^\"]*)\"|(\d+))"
+    fields = r"(?s)(\w+)\s*=\s*(?:\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}|\"([^\"]*)\"|(\d+))"
     names = F.regexp_extract_all("e", F.lit(fields), F.lit(1))
     values = F.transform(F.arrays_zip(*[F.regexp_extract_all("e", F.lit(fields), F.lit(g)).alias(f"v{g}") for g in (2, 3, 4)]), lambda x: F.concat(x["v2"], x["v3"], x["v4"]))
-    mapped = F.map_from_entries(F.arrays_zip(F.transform(names, F.lower).alias("k"), values.alias("v")))
+    # A field given twice counts as it stands first.
+    mapped = F.arrays_zip(F.transform(names, F.lower).alias("k"), values.alias("v"))
     kept = entry.select("path", F.regexp_extract("e", head, 1).alias("kind"), F.regexp_extract("e", head, 2).alias("key"), mapped.alias("m"))
-    get = lambda k: F.nullif(strip(F.regexp_replace(F.regexp_replace(F.try_element_at("m", F.lit(k)), r"[{}]", ""), r"\s+", " ")), F.lit(""))
+    get = lambda k: F.nullif(strip(F.regexp_replace(F.regexp_replace(F.try_element_at(F.filter("m", lambda x: x["k"] == k), F.lit(1))["v"], r"[{}]", ""), r"\s+", " ")), F.lit(""))
     return kept.select(
         "path", "key", F.concat(F.lit("@"), "kind", F.lit("{"), "key", F.lit(", ...}")).alias("raw"), get("title").alias("title"),
         F.coalesce(F.split(get("author"), r"\s+and\s+"), F.array().cast("array<string>")).alias("authors"), F.when(get("year").rlike(r"^\d+$"), get("year").cast("int")).alias("year"),

@@ -121,6 +121,90 @@ def test_services(spark):
     assert (r.title, r.year, r.arxiv_id, r.manifestation) == ("T", 2021, "2101.1", "arxiv")
 
 
+def test_services_mend_what_is_odd(spark):
+    one = lambda body: spark.createDataFrame([(body,)], "body string")
+    r = services.pubmed(one("<PubmedArticle><ArticleTitle>T &amp; U</ArticleTitle><Author><LastName>Alpha</LastName></Author><Author ValidYN='Y'><LastName>Beta</LastName><ForeName>Bo</ForeName></Author><Author><CollectiveName>C</CollectiveName></Author></PubmedArticle>")).first()
+    assert (r.title, r.authors) == ("T & U", ["Alpha", "Bo Beta"])
+    r = services.semantic_scholar(one('{"title":"T","authors":[{"name":"A"}],"year":2021,"externalIds":{"DOI":"10.1/x"}}')).collect()
+    assert [(x.title, x.authors, x.doi) for x in r] == [("T", ["A"], "10.1/x")]
+    assert services.semantic_scholar(one('{"data":[]}')).count() == 0 and services.semantic_scholar(one("nonsense")).count() == 0
+
+
+def test_bibtex_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.bib").write_text("@article{k, title={A {B {C {D}}} E}, title={Other}, year={2001}}\n@misc{empty, }\n")
+    got = {r.key: (r.title, r.year) for r in files.read_bibtex(spark, str(tmp_path / "a.bib")).collect()}
+    assert got == {"k": ("A B C D E", 2001), "empty": (None, None)}
+
+
+def test_misspelt_titles_are_left_to_the_second_pass(spark, registry):
+    own = "citation_id bigint, title string, authors array<string>, year int, doi string, arxiv_id string"
+    cites = spark.createDataFrame([(1, "A new filter!", [], None, None, None), (2, "A nwe filter", ["A Smith"], 2019, None, None), (3, "A nwe filter", ["Z Other"], 2019, None, None), (4, None, None, None, None, None)], own)
+    got = {(r.citation_id, r.record_id, r["pass"]) for r in retrieve.candidates(cites, registry).collect()}
+    assert got == {(1, 1, 1), (1, 2, 1), (2, 1, 2), (2, 2, 2)}
+    assert retrieve.candidates(cites.limit(0), registry).count() == 0 and retrieve.candidates(cites, registry.limit(0)).count() == 0
+
+
+def test_classifier_notes_and_guard(spark, docs):
+    df = spark.createDataFrame([("JAILBREAK", 0.9, 0.1), ("benign", 0.95, 0.1), ("benign", 0.9, 0.99), ("1", None, 0.2)], "label string, p double, h double")
+    got = [r.x for r in df.select(threat.combined(F.col("label"), F.col("p"), F.col("h"), Params()).alias("x")).collect()]
+    assert [r.malicious for r in got] == [True, False, True, False] and got[2].score == 0.99 and got[3].score == 0.2
+    report = threat.threat_report(docs, Params(polarity="fixed"))
+    said = {r.doc_id: r.n for r in report.select("doc_id", threat.notes(report).alias("n")).collect()}
+    assert said[4][-1] in ("passed", "blocked") and said[2][0].startswith("rules: score")
+    assert threat.assert_safe(report.where("doc_id = 1")).select("malicious").collect()[0].malicious is False
+    with pytest.raises(Exception, match="malicious prompt in document 2"):
+        threat.assert_safe(report).collect()
+
+
+def test_small_functions(spark):
+    from lapwing.functions import similarity as S
+    from lapwing.functions import text as X
+
+    df = spark.createDataFrame([("abcabc", None, "p"), ("ab", "", "p"), (None, "g", None)], "t string, g string, p string")
+    assert [len(r.w) for r in df.select(S.windows(F.coalesce("t", F.lit("")), 3).alias("w")).collect()] == [4, 0, 0]
+    assert [len(r.w) for r in df.select(S.windows(F.lit("abcabc"), 6).alias("w")).collect()] == [1, 1, 1] and [len(r.w) for r in df.select(S.windows(F.lit("abcabc"), 7).alias("w")).collect()] == [0, 0, 0]
+    assert [r.a for r in df.select(X.audited_text("g", "p").alias("a")).collect()] == ["p", "p", "g"]
+    assert [r.v for r in df.select(X.valid_request(F.col("p"), F.col("g"), F.lit("strict")).alias("v")).collect()] == [True, True, False]
+    assert df.select(X.action_token(F.lit("search"), F.lit("q=1")).alias("x")).first().x.startswith("act_")
+    assert S.common_substring("xabcdy", "zabcdw") == "abcd" and S.common_substring("", "a") == "" and S.common_substring(None, "a") == ""
+
+
+def test_report_and_exit(spark, docs, registry, tmp_path):
+    from lapwing import session
+    from lapwing.plans.audit import failed, show, write_report
+
+    with session.scope(spark):
+        tables = audit(docs, registry, None, Params(polarity="fixed"))
+        write_report(tables, str(tmp_path / "report"))
+        assert failed(tables) and not failed(tables, 0.0)
+        show(tables)
+    back = spark.read.json(str(tmp_path / "report"))
+    assert back.count() == 4 and {"verdicts", "patches", "score"} <= set(back.columns)
+
+
+def test_nested_configuration(tmp_path):
+    import json
+
+    from lapwing.params import load
+
+    (tmp_path / "base.json").write_text(json.dumps({"security": {"sentinel": {"block_threshold": 0.7, "model_id": "x"}}, "linkage": {"field_weights": {"title": 1.0}}, "retrieval": {"enabled_sources": ["arxiv"]}}))
+    (tmp_path / "own.json").write_text(json.dumps({"extends": "base.json", "scoring": {"weights": {"alpha_inj": 0.9}}, "beta": 0.1}))
+    p = load(tmp_path / "own.json")
+    assert (p.block_threshold, p.weights, p.sources, p.alpha, p.beta) == (0.7, {"title": 1.0}, ("arxiv",), 0.9, 0.1)
+    (tmp_path / "bad.json").write_text('{"unheard": 1}')
+    with pytest.raises(ValueError):
+        load(tmp_path / "bad.json")
+
+
+def test_nearest_of_odd_vectors(spark):
+    from lapwing.operators.search import nearest
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [1.0, None]), (None, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in nearest(v.where("vec_id in (1, 4, 7)"), v, k=2, rows=2).orderBy("place").collect()]
+    assert got == [(1, 2, 1.0, 1), (1, 3, 0.0, 2)]
+    assert nearest(v.limit(0), v).count() == 0 and nearest(v, v.limit(0)).count() == 0
+
+
 def test_fetcher_opens_after_refusals():
     waits = []
     f = Fetcher(lambda url: (429, {"Retry-After": "7"}, ""), retries=9, sleep=waits.append)
