@@ -62,6 +62,52 @@ def pair_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(a, b).distinct().withColumn("x", _jaro_lcs(F.col(a), F.col(b))).select(a, b, "x.jaro", "x.lcs")
 
 
+def enhanced_score(a: str, b: str, p: Params) -> float:
+    """`enhanced` of two strings."""
+    j = jaro(a, b)
+    if not j:
+        return 0.0
+    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    score, common = j + prefix * p.jw_prefix * (1 - j), lcs_length(a, b)
+    if common >= p.jw_window:
+        score += p.jw_suffix * min(1.0, common / max(min(len(a), len(b)), 1)) * (1 - score)
+    return max(0.0, min(1.0, score))
+
+
+def field_scores(p: Params):
+    """Arrow UDF of (title, title, venue, venue, authors, authors), all in lower case and trimmed: the struct of their similarities; authors: mean of each one's best match."""
+
+    @F.pandas_udf("title double, venue double, authors double")
+    def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, str], float] = {}
+
+        def one(a: str, b: str) -> float:
+            got = known.get((a, b))
+            if got is None:
+                if len(known) > 500_000:  # it only remembers
+                    known.clear()
+                got = known[a, b] = enhanced_score(a, b, p)
+            return got
+
+        for t, u, v, w, x, y in batches:
+            authors = [sum(max((one(m, n) for n in b), default=0.0) for m in a) / len(a) if len(a) and len(b) else 0.0 for a, b in zip(x, y, strict=True)]
+            yield pd.DataFrame({"title": [*map(one, t, u)], "venue": [*map(one, v, w)], "authors": authors}, dtype=float)
+
+    return scores
+
+
+def windows(text: Column, size: int) -> Column:
+    """All substrings of this length, in order; none if the text is shorter or size is not positive."""
+    none = F.array().cast("array<string>")
+    return none if size <= 0 else F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(none)
+
+
+def common_substring(a: str, b: str) -> str:
+    """The longest common substring, the first in `a` of several."""
+    n = lcs_length(a or "", b or "")
+    return next((a[i : i + n] for i in range(len(a) - n + 1) if a[i : i + n] in b), "") if n else ""
+
+
 def common_prefix(a: Column, b: Column, most: int = 4) -> Column:
     """Length of the common beginning, four at most."""
     steps = [F.when((F.length(a) >= k) & (F.length(b) >= k) & (F.left(a, F.lit(k)) == F.left(b, F.lit(k))), 1).otherwise(0) for k in range(1, most + 1)]

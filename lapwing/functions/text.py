@@ -99,3 +99,22 @@ def bag_cosine(a: Column, b: Column) -> Column:
         return F.when((F.size(pair["a"]) == 0) | (F.size(pair["b"]) == 0), F.lit(0.0)).otherwise(dot / (norm("a") * norm("b")))
 
     return once(F.struct(a.alias("a"), b.alias("b")), cosine)
+
+
+def action_token(name: Column, arguments: Column) -> Column:
+    """Token of an action: its name and canonical arguments, hashed."""
+    return F.concat(F.lit("act_"), F.left(F.sha1(F.concat(name, F.lit("::"), text(arguments))), F.lit(12)))
+
+
+def audited_text(generated: Column | str, prompt: Column | str) -> Column:
+    """The generated text, or the prompt where there is none."""
+    return F.coalesce(F.nullif(text(generated), F.lit("")), text(prompt))
+
+
+# Most characters of a request, and its presets.
+MOST_PROMPT, MOST_TEXT, REQUEST_PRESETS = 32_000, 200_000, ("default", "strict", "lenient")
+
+
+def valid_request(prompt: Column, generated: Column, preset: Column) -> Column:
+    """True if a request keeps within its lengths and names a preset."""
+    return (text(prompt) != "") & (F.length(text(prompt)) <= MOST_PROMPT) & (F.length(text(generated)) <= MOST_TEXT) & F.coalesce(preset.isin(*REQUEST_PRESETS), F.lit(False))

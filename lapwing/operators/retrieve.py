@@ -1,8 +1,9 @@
 """Layer 3: candidates for each citation from the registry, their order, judgment and the state of their addresses.
 
 What an outside search would return cannot be had offline. Candidates come from
-equi-joins on blocking keys instead: DOI, arXiv id, title, and first surname
-with year; of each source the best five by lexical score are kept.
+equi-joins on blocking keys instead: DOI, arXiv id and the words of the title in
+a first pass, first surname with year in a second one for what the first left
+without a titled record; of each source the best five by lexical score are kept.
 """
 
 from __future__ import annotations
@@ -28,12 +29,18 @@ def surname(c: Column) -> Column:
     return F.lower(F.try_element_at(F.split(strip(c), r"\s+"), F.lit(-1)))
 
 
+def title_key(c: Column | str) -> Column:
+    """The distinct words of a title in alphabetical order; a title that is not plain ASCII as it stands, in lower case."""
+    words = F.array_join(F.array_sort(token_set(c, 2, False)), " ")
+    return F.nullif(F.when(text(c).rlike(r"[^\x00-\x7F]") | (words == ""), F.lower(strip(text(c)))).otherwise(words), F.lit(""))
+
+
 def _keys(authors: Column, relaxed: bool = False) -> Column:
     by_author = F.when((F.size(F.coalesce(authors, F.array().cast("array<string>"))) > 0) & (F.coalesce(F.col("year"), F.lit(0)) > 0), F.concat(F.lit("a:"), surname(F.try_element_at(authors, F.lit(1))), F.lit(":"), F.col("year").cast("string")))
     if relaxed:
         return F.array_compact(F.array(by_author))
-    named = [F.when(text(c) != "", F.concat(F.lit(f"{k}:"), F.lower(strip(F.col(c))))) for k, c in (("d", "doi"), ("x", "arxiv_id"), ("t", "title"))]
-    return F.array_compact(F.array(*named, by_author))
+    named = [F.when(text(c) != "", F.concat(F.lit(f"{k}:"), F.lower(strip(F.col(c))))) for k, c in (("d", "doi"), ("x", "arxiv_id"))]
+    return F.array_compact(F.array(*named, F.concat(F.lit("t:"), title_key("title"))))
 
 
 def lexical_score(cites: DataFrame) -> Column:
@@ -44,7 +51,7 @@ def lexical_score(cites: DataFrame) -> Column:
 
 def _pass(cites: DataFrame, records: DataFrame, p: Params, relaxed: bool) -> DataFrame:
     left = cites.select("citation_id", *[F.col(c).alias(f"c_{c}") for c in ("title", "authors", "year")], F.explode(_keys(F.col("authors"), relaxed)).alias("key"))
-    right = records.select("*", F.explode(_keys(F.col("authors"))).alias("key"))
+    right = records.select("*", F.explode(_keys(F.col("authors"), relaxed)).alias("key"))
     pairs = left.join(right, "key").drop("key").dropDuplicates(["citation_id", "record_id"])
     ranked = pairs.withColumn("lexical", lexical_score(pairs))
     place = F.row_number().over(Window.partitionBy("citation_id", "source_rank").orderBy(F.desc("lexical"), "record_id"))

@@ -37,6 +37,7 @@ RULES: list[tuple[str, float, str]] = [
     (r"(?i)\bno\s+(?:filters?|restrictions?|limits?|guardrails?)\b", 0.40, "truthfulness-coercion"),
     (r"(?i)\bunfiltered\s+(?:answer|response|reply|truth)", 0.40, "truthfulness-coercion"),
 ]
+# Families that count as combined, words that leak, the block of external text, labels of classifiers that mean malice.
 FAMILIES = ("rule-binding", "canary-signal", "truthfulness-coercion")
 LEAKS = r"(?i)\b(ignore\s+all|disregard|fabricate|exfiltrate|webhook|attacker|hacker|pwn|leak\s+the|reveal\s+the)\b"
 BLOCK = r"(?is)={50,}\s*BEGIN_EXTERNAL_CONTENT.*?END_EXTERNAL_CONTENT\s*={50,}"
@@ -61,6 +62,31 @@ def sentinel(c: Column | str) -> Column:
     return F.struct(score.alias("score"), hits.alias("hits"), rule_matches.alias("rule_matches"))
 
 
+def malicious_label(c: Column) -> Column:
+    """True for a classifier's label that means malice, whatever its case."""
+    return F.coalesce(F.lower(c).isin(*MALICIOUS_LABELS), F.lit(False))
+
+
+def combined(label: Column, probability: Column, heuristic: Column, p: Params) -> Column:
+    """(malicious, score) of a plugged-in classifier's label and confidence in it together with the rules: the greater chance of malice decides."""
+    chance = F.greatest(F.when(malicious_label(label), probability).otherwise(1 - probability), heuristic)
+    return F.struct((chance >= p.block_threshold).alias("malicious"), chance.alias("score"))
+
+
+def assert_safe(reports: DataFrame) -> DataFrame:
+    """The reports; the query fails at a malicious one."""
+    return reports.withColumn("malicious", F.when(F.col("malicious"), F.raise_error(F.concat(F.lit("malicious prompt in document "), F.col("doc_id").cast("string"))).cast("boolean")).otherwise(F.col("malicious")))
+
+
+def notes(reports: DataFrame, p: Params | None = None) -> Column:
+    """What the layers of a threat report say, as an array of texts."""
+    p = p or Params()
+    return F.array_compact(F.array(
+        F.when(F.col("malicious"), F.format_string("rules: score %.2f (%s)", "sentinel_score", F.array_join("hits", ", "))),
+        F.when(F.col("aborted"), F.format_string(f"masked run: cosine %.2f at {p.cosine_threshold:.2f} or above", "melon_cosine")),
+        F.when(F.col("blocked"), "blocked").otherwise("passed")))
+
+
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

@@ -10,6 +10,27 @@ from lapwing.operators import extract, link, patches, retrieve, score, threat
 from lapwing.params import Params
 from lapwing.session import written
 
+#: Safety score below which a run counts as failed.
+LEAST_SCORE = 25.0
+
+
+def failed(tables: dict[str, DataFrame], least: float = LEAST_SCORE) -> bool:
+    """True if any document scores below `least`: a command's exit code 2."""
+    return not tables["safety"].where(F.col("score") < least).isEmpty()
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """The report as JSON, one document a line: its summary with its verdicts and patches."""
+    gathered = lambda name, order: tables[name].groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in tables[name].columns if c not in ("doc_id", order)]))).alias(name))
+    report = summary(tables).join(gathered("verdicts", "cite_ord"), "doc_id", "left").join(gathered("patches", "cite_ord"), "doc_id", "left")
+    report.write.mode("overwrite").json(path)
+
+
+def show(tables: dict[str, DataFrame], rows: int = 20, width: int = 60) -> None:
+    """The summary and the patches on the console, long texts cut for display."""
+    for df in (summary(tables), tables["patches"].select("doc_id", "cite_ord", "label", "action", "note")):
+        df.orderBy("doc_id").show(rows, width)
+
 
 def audit(docs: DataFrame, registry: DataFrame, url_status: DataFrame | None = None, p: Params | None = None) -> dict[str, DataFrame]:
     """Tables of all layers for docs(doc_id, user_prompt, generated_text, external_context). Blocked documents stop after the first layer.
@@ -22,7 +43,7 @@ def audit(docs: DataFrame, registry: DataFrame, url_status: DataFrame | None = N
     cites = written(extract.extract_citations(clear))
     tri = claims_.triplets(clear, p)
     own = written(claims_.claims(tri, cites))
-    unique = written(extract.unique_citations(cites).withColumn("citation_id", F.xxhash64("doc_id", "cite_ord")))
+    unique = written(extract.unique_citations(cites).withColumn("citation_id", F.concat_ws(":", "doc_id", "cite_ord")))
     cands = written(retrieve.candidates(unique, registry, p))
     judged = retrieve.judge(unique, cands)
     matches = written(link.linked(unique, cands, p))

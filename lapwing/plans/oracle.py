@@ -112,7 +112,9 @@ _UNC = f"""{ALIGN}, unc AS (SELECT doc_id, count(*) AS n, least({P.high_entropy}
 
 _LAST = "lower(string_split_regex({}, '\\s+')[-1])"
 _AUTHOR_KEY = f"CASE WHEN len(authors) > 0 AND year > 0 THEN 'a:' || {_LAST.format(strip('authors[1]'))} || ':' || year END"
-_KEYS = f"unnest(list_filter([CASE WHEN coalesce(doi, '') <> '' THEN 'd:' || lower({strip('doi')}) END, CASE WHEN coalesce(arxiv_id, '') <> '' THEN 'x:' || lower({strip('arxiv_id')}) END, CASE WHEN coalesce(title, '') <> '' THEN 't:' || lower({strip('title')}) END, {_AUTHOR_KEY}], lambda x: x IS NOT NULL))"
+_TITLE_WORDS = f"array_to_string(list_sort({toks('title', 2, 'A-Za-z0-9')}), ' ')"
+_TITLE_KEY = f"(CASE WHEN regexp_matches(coalesce(title, ''), '[^\\x00-\\x7F]') OR {_TITLE_WORDS} = '' THEN lower({strip("coalesce(title, '')")}) ELSE {_TITLE_WORDS} END)"
+_KEYS = f"unnest(list_filter([CASE WHEN coalesce(doi, '') <> '' THEN 'd:' || lower({strip('doi')}) END, CASE WHEN coalesce(arxiv_id, '') <> '' THEN 'x:' || lower({strip('arxiv_id')}) END, CASE WHEN {_TITLE_KEY} <> '' THEN 't:' || {_TITLE_KEY} END], lambda x: x IS NOT NULL))"
 _RANK = "CASE source " + " ".join(f"WHEN {q(s)} THEN {k + 1}" for k, s in enumerate(P.sources)) + " END"
 
 
@@ -125,7 +127,7 @@ CAND = f"""{REG}, rec AS (SELECT *, {_RANK} AS source_rank FROM reg WHERE {_RANK
 link1 AS (SELECT DISTINCT ckey.citation_id, rkey.record_id FROM ckey JOIN rkey ON ckey.k = rkey.k),
 pass1 AS (SELECT * FROM (SELECT l.citation_id, 1 AS pass, r.*, {_lexical('c')} AS lexical, row_number() OVER (PARTITION BY l.citation_id, r.source_rank ORDER BY {_lexical('c')} DESC, r.record_id) AS place FROM link1 l JOIN rec r ON l.record_id = r.record_id JOIN citations_flat c ON l.citation_id = c.citation_id) WHERE place <= {P.per_source}),
 left2 AS (SELECT citation_id, {_AUTHOR_KEY} AS k FROM citations_flat WHERE citation_id NOT IN (SELECT citation_id FROM pass1 WHERE coalesce(title, '') <> '')),
-link2 AS (SELECT DISTINCT l.citation_id, rkey.record_id FROM left2 l JOIN rkey ON l.k = rkey.k),
+link2 AS (SELECT DISTINCT l.citation_id, a.record_id FROM left2 l JOIN (SELECT record_id, {_AUTHOR_KEY} AS k FROM rec) a ON l.k = a.k),
 pass2 AS (SELECT * FROM (SELECT l.citation_id, 2 AS pass, r.*, {_lexical('c')} AS lexical, row_number() OVER (PARTITION BY l.citation_id, r.source_rank ORDER BY {_lexical('c')} DESC, r.record_id) AS place FROM link2 l JOIN rec r ON l.record_id = r.record_id JOIN citations_flat c ON l.citation_id = c.citation_id) WHERE place <= {P.per_source}),
 both_passes AS (SELECT * FROM pass1 UNION ALL SELECT * FROM pass2),
 dedup AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY citation_id, lower(coalesce(doi, '')), coalesce(nullif(lower(coalesce(arxiv_id, '')), ''), lower({strip("coalesce(title, '')")})) ORDER BY pass, source_rank, place) AS dn FROM both_passes) WHERE dn = 1),
@@ -216,6 +218,8 @@ def _band(x: str) -> str:
 
 _GATE = f"""CASE WHEN blocked OR p >= {P.block_on_injection} THEN 'Blocked: P_inj=' || printf('%.2f', p) || ' ≥ {P.block_on_injection:.2f}' WHEN dup THEN 'Refusing to overwrite duplicate citation key.' WHEN jl = 'hallucinated' AND NOT has THEN 'Hallucinated citation has no candidate replacement.' WHEN jl = 'hallucinated' AND conf THEN 'Manifestation conflict — Journal>Conference>Preprint policy requires human approval.' WHEN jl = 'hallucinated' AND score >= {P.auto_apply_min_score} AND sim >= {P.auto_apply_similarity} THEN 'High-confidence replacement and adequate safety score.' WHEN jl = 'hallucinated' THEN 'Suggested replacement requires manual review.' WHEN jl = 'partially_verified' THEN 'Partial verification — emit annotation only.' WHEN jl = 'verified' THEN 'Citation already verified; no patch needed.' ELSE 'Unverifiable claim — escalate for human review.' END"""
 _LABEL = f"CASE WHEN b.similarity >= {P.auto_apply_similarity} THEN 'verified' WHEN b.similarity >= {P.jw_base} AND j.jl <> 'verified' THEN 'partially_verified' ELSE j.jl END"
+_FINAL = f"WITH {JUDGE}, {LINKED[len(CAND) + 2 :]}, final AS (SELECT j.citation_id, {_LABEL} AS label FROM judged j LEFT JOIN best b ON j.citation_id = b.citation_id)"
+_SHARE = "avg(CASE WHEN f.label = 'verified' THEN 1.0 WHEN f.label = 'partially_verified' THEN 0.5 ELSE 0.0 END)"
 _BIBNAME = f"CASE WHEN len(authors) > 0 THEN string_split_regex({strip('authors[1]')}, '\\s+')[-1] ELSE 'anon' END"
 _SLUG = "coalesce(nullif(left(regexp_replace(regexp_replace(lower({}), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40), ''), 'ref')"
 _BIBLINE = lambda n, v, cond: f"CASE WHEN {cond} THEN '  {n.ljust(8)} = {{' || {v} || '}}' END"
@@ -283,5 +287,14 @@ def oracle_sql() -> dict[str, str]:
         "bibtex": f"WITH {REG} SELECT record_id, {_BIB} AS bibtex FROM reg",
         "markdown_patch": f"WITH {REG} SELECT record_id, {_MD} AS markdown FROM reg",
         "citation_tier": f"WITH x AS (SELECT citation_id, arxiv_id AS cx, venue AS cv FROM citations_flat) SELECT citation_id, {_TIER} AS tier FROM x",
+        "dense_search": f"SELECT query_id, vec_id, {r6('c', 'cosine')}, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS place FROM (SELECT v.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS c FROM embeddings v JOIN embeddings e ON v.vec_id <> e.vec_id WHERE v.vec_id % 20 = 0)) WHERE place <= 10",
+        "top_matches": f"WITH {LINKED} SELECT citation_id, record_id, match_ord FROM linked WHERE match_ord < 3",
+        "verdict_counts": f"{_FINAL} SELECT c.doc_id, {', '.join(f'count(*) FILTER (WHERE f.label = {q(x)}) AS {x}' for x in LABELS)} FROM final f JOIN citations_flat c ON f.citation_id = c.citation_id GROUP BY c.doc_id",
+        "verdict_alignment": f"{_FINAL} SELECT c.doc_id, {r6(_SHARE, 'v_extrinsic')} FROM final f JOIN citations_flat c ON f.citation_id = c.citation_id GROUP BY c.doc_id",
+        "audited_text": f"WITH {MAN} SELECT doc_id, CASE WHEN coalesce(generated_text, '') <> '' THEN generated_text ELSE coalesce(user_prompt, '') END AS audited FROM man",
+        "valid_requests": f"WITH {MAN} SELECT doc_id, length(coalesce(user_prompt, '')) BETWEEN 1 AND 32000 AND length(coalesce(generated_text, '')) <= 200000 AS valid FROM man",
+        "action_tokens": "SELECT doc_id, 'act_' || left(sha1(kind || '::' || coalesce(lang, '')), 12) AS token FROM documents",
+        "title_windows": f"WITH {REG}, w AS (SELECT record_id, list_transform(range(1, greatest(length(title) - {P.jw_window} + 2, 1)), lambda i: substring(lower(title), CAST(i AS INTEGER), {P.jw_window})) AS w FROM reg WHERE title IS NOT NULL) SELECT record_id, CAST(len(w) AS INTEGER) AS windows, CAST(len(list_distinct(w)) AS INTEGER) AS distinct_windows FROM w",
+        "malicious_labels": "SELECT lower(coalesce(CASE doc_id % 3 WHEN 0 THEN 'JailBreak' WHEN 1 THEN kind END, '')) IN ('jailbreak', 'injection', 'malicious', 'label_1', '1') AS malicious, count(*) AS docs FROM documents GROUP BY 1",
         "dense_rerank": f"SELECT e.vec_id, {r6('list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))', 'cosine')} FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q",
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lapwing.functions import citations as C
 from lapwing.functions import similarity as S
 from lapwing.functions import text as X
-from lapwing.operators import claims, extract, link, patches, retrieve, score, threat
+from lapwing.operators import claims, extract, link, patches, retrieve, score, search, threat
 from lapwing.params import Params
 from lapwing.session import written
 
@@ -142,6 +142,12 @@ def _dense(s: SparkSession, d: str) -> DataFrame:
     return e.crossJoin(F.broadcast(first)).select("vec_id", r6(S.dense_cosine(F.col("embedding"), F.col("q")), "cosine"))
 
 
+def _search(s: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id can be divided by 20 against all others."""
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return search.nearest(e.where("vec_id % 20 = 0"), e).select("query_id", F.col("id").alias("vec_id"), r6("cosine", "cosine"), "place")
+
+
 def _labels(s: SparkSession, d: str) -> DataFrame:
     c = cites(s, d)
     return retrieve.judge(c, _cand(s, d)).join(c.select("citation_id", "doc_id"), "citation_id").withColumnRenamed("judge_label", "label")
@@ -201,6 +207,15 @@ def queries() -> dict[str, Query]:
         "markdown_patch": _record(patches.markdown, "markdown", "authors", "year", "title", "venue", "doi", "url"),
         "citation_tier": lambda s, d: cites(s, d).select("citation_id", C.tier_of_citation(F.col("arxiv_id"), F.col("venue")).alias("tier")),
         "dense_rerank": _dense,
+        "dense_search": _search,
+        "top_matches": lambda s, d: _linked(s, d).where("match_ord < 3").select("citation_id", "record_id", "match_ord"),
+        "verdict_counts": lambda s, d: score.label_counts(_verdicts(s, d)),
+        "verdict_alignment": lambda s, d: score.alignment(_verdicts(s, d)).select("doc_id", r6("v_extrinsic", "v_extrinsic")),
+        "audited_text": lambda s, d: manuscripts(s, d).select("doc_id", X.audited_text("generated_text", "user_prompt").alias("audited")),
+        "valid_requests": lambda s, d: manuscripts(s, d).select("doc_id", X.valid_request(F.col("user_prompt"), F.col("generated_text"), F.lit("default")).alias("valid")),
+        "action_tokens": lambda s, d: table(s, d, "documents").select("doc_id", X.action_token(F.col("kind"), F.col("lang")).alias("token")),
+        "title_windows": lambda s, d: registry(s, d).where("title is not null").select("record_id", S.windows(F.lower("title"), P.jw_window).alias("w")).select("record_id", F.size("w").alias("windows"), F.size(F.array_distinct("w")).alias("distinct_windows")),
+        "malicious_labels": lambda s, d: table(s, d, "documents").groupBy(threat.malicious_label(F.when(F.col("doc_id") % 3 == 0, "JailBreak").when(F.col("doc_id") % 3 == 1, F.col("kind"))).alias("malicious")).agg(F.count("*").alias("docs")),
         "report_summary": _summary,
     }
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lapwing.operators.threat import threat_report
 from lapwing.params import Params
 from lapwing.plans.audit import audit
+from lapwing.session import scope
 
 
 def threat_stream(docs: DataFrame, p: Params | None = None) -> DataFrame:
@@ -28,7 +29,8 @@ def audit_stream(docs: DataFrame, registry: DataFrame, sink: Callable[[dict[str,
     """A whole audit of every micro-batch; a document's first delivery in the batch counts."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        sink(audit(batch.dropDuplicates(["doc_id"]), registry, None, p), epoch)
+        with scope(batch.sparkSession):
+            sink(audit(batch.dropDuplicates(["doc_id"]), registry, None, p), epoch)
 
     writer = docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from lapwing.plans import oracle, queries
 
 DATA = os.environ.get("LAPWING_TEST_DATA", "/root/testdata/sf0.001")
-QUICK = ["sentence_split", "token_bag", "sentinel_hits", "melon_cosine", "threat_report", "paren_citations", "numeric_citations", "reference_parse", "claim_alignment", "judge", "enhanced_jw", "field_similarity", "verdict_label", "liveness", "hrs_presets", "bibtex"]
+QUICK = ["sentence_split", "token_bag", "sentinel_hits", "melon_cosine", "threat_report", "paren_citations", "numeric_citations", "reference_parse", "claim_alignment", "candidates_pass1", "candidates_relaxed", "judge", "enhanced_jw", "field_similarity", "verdict_label", "liveness", "hrs_presets", "bibtex", "dense_search", "top_matches", "verdict_counts", "verdict_alignment", "audited_text", "valid_requests", "action_tokens", "title_windows", "malicious_labels"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
