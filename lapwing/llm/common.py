@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
 import unicodedata
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapwing.session import written
+
+__all__ = ["written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_dir:
-        set_dir = getattr(shared_dir, "own", None)
-        if not set_dir:
-            shared_dir.own = set_dir = "file://" + tempfile.mkdtemp(prefix="lapwing-")
-    return set_dir
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # the session may be gone already
-        pass
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read that.
-
-    A lost executor then costs a re-read instead of a recomputation, and later
-    readers prune columns. The table is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lapwing-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of edges(a, b): root is the smallest vertex that can be reached.
 

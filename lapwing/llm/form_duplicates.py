@@ -62,18 +62,21 @@ def adjacent_runs(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     n = partitions(spark)
     id_type = dict(keyed.dtypes)["id"]
-    records = keyed.select(F.xxhash64("key").alias("h"), "id", "key")
+    # Written before the range is sampled, or the keys would be computed a second time.
+    records = written(keyed.select(F.xxhash64("key").alias("h"), "id", "key"))
     runs = records.repartitionByRange(n, "h", "id").sortWithinPartitions("h", "key", "id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # The open run: its key and smallest id. edge is 1 while the run may go on before this partition, and 2 if it may go on after it.
         part = TaskContext.get().partitionId()
         key, keep, run = None, None, 0
-        held: list[pd.DataFrame] = []  # of the open run, (keep_id, id) only; written out as it grows
+        head, last = None, None  # first and last digest
+        ends: dict[int, tuple] = {}  # key and smallest id of the runs of the last digest
         for b in batches:
             if not len(b):
                 continue
-            keys = b["key"].to_numpy()
+            keys, digests = b["key"].to_numpy(), b["h"].to_numpy()
+            head = digests[0] if head is None else head
             ids = b["id"].to_numpy()
             new = np.ones(len(b), bool)
             new[1:] = keys[1:] != keys[:-1]
@@ -87,19 +90,25 @@ def adjacent_runs(keyed: DataFrame) -> DataFrame:
             for s, e in zip(starts, [*starts[1:], len(b)], strict=True):
                 first[s:e] = ids[s]
             key, keep, run = keys[-1], first[-1], int(number[-1])
-            # Only the first run and the run still open can go on in a neighbour: rows of the first carry the key at once,
-            # the last one's key follows as a row without id when the partition ends.
-            yield pd.DataFrame({"part": part, "run": number, "keep_id": first, "id": ids, "key": np.where(number == 1, keys, None)})
-        if key is not None and run > 1:
-            yield pd.DataFrame({"part": [part], "run": [run], "keep_id": [keep], "id": pd.array([None], dtype="Int64") if id_type in ("bigint", "int") else [None], "key": [key]})
+            if digests[-1] != last:
+                last, ends = digests[-1], {}
+            for x in np.flatnonzero(new & (digests == last)).tolist():
+                ends[int(number[x])] = (keys[x], first[x])
+            if not new[0] and digests[0] == last:
+                ends[int(number[0])] = (keys[0], first[0])
+            # Only runs of the first and of the last digest can go on in a neighbour: rows of the first carry the key at once,
+            # the keys of the last follow as rows without id when the partition ends.
+            yield pd.DataFrame({"part": part, "run": number, "keep_id": first, "id": ids, "key": np.where(digests == head, keys, None)})
+        if ends and last != head:
+            yield pd.DataFrame({"part": part, "run": list(ends), "keep_id": [k for _, k in ends.values()], "id": pd.array([None] * len(ends), dtype="Int64") if id_type in ("bigint", "int") else [None] * len(ends), "key": [k for k, _ in ends.values()]})
 
     scanned = written(runs.mapInPandas(scan, f"part int, run bigint, keep_id {id_type}, id {id_type}, key string"))
-    # One row per border run (two a partition at most), then one row per key that meets a border.
+    # One row per border run (two a partition, but for keys that share a digest), then one row per key that meets a border.
     border = scanned.where("key is not null").groupBy("part", "run", "key").agg(F.min("keep_id").alias("keep_id"))
     whole = border.groupBy("key").agg(F.min("keep_id").alias("first_id"), F.collect_set(F.struct("part", "run")).alias("at")).where(F.size("at") > 1)
     stitched = whole.select(F.explode("at").alias("at"), "first_id").select("at.part", "at.run", "first_id")
     members = scanned.where("id is not null").drop("key")
-    return members.join(F.broadcast(stitched), ["part", "run"], "left").select(F.least("keep_id", F.coalesce("first_id", "keep_id")).alias("keep_id"), "id")
+    return members.join(stitched, ["part", "run"], "left").select(F.least("keep_id", F.coalesce("first_id", "keep_id")).alias("keep_id"), "id")
 
 
 def form_duplicates(df: DataFrame, id_col: str = "citation_id", raw: str = "raw", title: str = "title", doi: str = "doi") -> DataFrame:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.llm.common import written
@@ -194,8 +194,8 @@ def containers(documents: DataFrame, limits: DataFrame, rules: Rules | None = No
         for s, x in spans.items():
             table[limit, s] = tuple(np.array(c, np.int64) for c in zip(*x, strict=True))
     shared = spark.sparkContext.broadcast(table)
-    offsets = held.groupBy("limit_name", "tokens").agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("p")).select(
-        "limit_name", "tokens", F.explode(F.expr("transform(p, (x, i) -> struct(x.part AS part, aggregate(slice(p, 1, i), 0L, (a, y) -> a + y.n) AS before))")).alias("x")).select("limit_name", "tokens", "x.part", "x.before")
+    before = F.sum("n").over(Window.partitionBy("limit_name", "tokens").orderBy("part")) - F.col("n")
+    offsets = held.select("limit_name", "tokens", "part", before.alias("before"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
