@@ -330,22 +330,37 @@ RARE = 4
 def rare_pairs(entries: DataFrame, records: DataFrame) -> DataFrame:
     """(form, form_b) of entries(form) and records(form) that share two of the record's rarest words, wherever they stand.
 
-    An entry brings one more of its words that records have, as one may be a misspelling that is another word.
+    An entry brings one more of its words that records have, as one may be a
+    misspelling that is another word. Numbers stand for forms and digests for
+    words until the pairs are known; equal digests of different words bring a
+    needless pair at most. Pairs in which either title lacks more of the other's
+    words than `title_similarity` lets misspelling, a cut or a part explain are left out
+    before the texts are fetched.
     """
+    bits = "aggregate(w, 0L, (a, x) -> a | IF(pmod(x div 64, 2) = {}, shiftleft(1L, CAST(pmod(x, 64) AS INT)), 0L))"
 
-    def words(forms: DataFrame) -> DataFrame:
-        return forms.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
+    # A part's number, or a report's, can be written in two ways and misspelt, which touches two words.
+    last = F.substring_index("form", " ", -1)
+    part = F.when(last.isin(*_NUMERALS) | F.expr(" OR ".join(f"levenshtein(substring_index(form, ' ', -1), '{w}', 2) BETWEEN 0 AND 2" for w in _REPORT_WORDS)), 2).otherwise(0)
 
-    held = written(words(records))
-    uses = written(held.groupBy("word").agg(F.count("*").alias("uses")))
+    def numbered(forms: DataFrame) -> DataFrame:
+        own = forms.select("form", F.monotonically_increasing_id().alias("id"), F.expr("transform(array_distinct(split(form, ' ')), x -> xxhash64(x))").alias("w"))
+        return written(own.select("form", "id", "w", F.expr(bits.format(0)).alias("b0"), F.expr(bits.format(1)).alias("b1"), F.size("w").alias("n"), part.alias("p")))
 
-    def keys(own: DataFrame, most: int) -> DataFrame:
-        rarest = own.join(uses, "word").groupBy("form").agg(F.slice(F.array_sort(F.collect_list(F.struct("uses", "word"))), 1, most).alias("w"))
-        sorted_words = F.array_sort(F.col("w.word"))
-        pairs = F.flatten(F.transform(sorted_words, lambda a: F.transform(F.filter(sorted_words, lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-        return rarest.select("form", F.explode(pairs).alias("key"))
+    left, right = numbered(entries), numbered(records)
+    uses = written(right.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("uses")))
 
-    return keys(words(entries), RARE + 1).join(keys(held, RARE).withColumnRenamed("form", "form_b"), "key").select("form", "form_b").distinct()
+    def keys(own: DataFrame, most: int) -> DataFrame:
+        each = own.select("id", "b0", "b1", "n", "p", F.explode("w").alias("word")).join(uses, "word")
+        rarest = each.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("uses", "word"))), 1, most).alias("w"), *[F.first(c).alias(c) for c in ("b0", "b1", "n", "p")])
+        words = F.array_sort(F.col("w.word"))
+        pairs = F.flatten(F.transform(words, lambda a: F.transform(F.filter(words, lambda b: b > a), lambda b: F.xxhash64(a, b))))
+        return rarest.select("id", "b0", "b1", "n", "p", F.explode(pairs).alias("key"))
+
+    met = keys(left, RARE + 1).join(keys(right, RARE).withColumnsRenamed({"id": "id_b", "b0": "c0", "b1": "c1", "n": "m", "p": "q"}), "key")
+    lacking = "least(bit_count(b0 & ~c0) + bit_count(b1 & ~c1), bit_count(c0 & ~b0) + bit_count(c1 & ~b1))"
+    pairs = met.where(f"{lacking} <= greatest(3, (least(n, m) + 1) div 3) + greatest(p, q)").select("id", "id_b").distinct()
+    return pairs.join(left.select("id", "form"), "id").join(right.select(F.col("id").alias("id_b"), F.col("form").alias("form_b")), "id_b").select("form", "form_b")
 
 
 def comparable(df: DataFrame, id_col: str) -> DataFrame:
