@@ -324,43 +324,34 @@ def sorted_neighbourhood(forms: DataFrame, cross: bool, common_share: float = 0.
     return pairs.distinct()
 
 
-RARE = 4
+#: Titles of more distinct words meet within the windows only: left-out words of all pairs of words would be too many keys.
+LEFT_OUT_WORDS = 24
 
 
-def rare_pairs(entries: DataFrame, records: DataFrame) -> DataFrame:
-    """(form, form_b) of entries(form) and records(form) that share two of the record's rarest words, wherever they stand.
+def left_out_pairs(entries: DataFrame, records: DataFrame) -> DataFrame:
+    """(form, form_b) of entries(form) and records(form) that have the same words, wherever they stand, once one or two are left out of each; of two the record's rarest word is none.
 
-    An entry brings one more of its words that records have, as one may be a
-    misspelling that is another word. Numbers stand for forms and digests for
-    words until the pairs are known; equal digests of different words bring a
-    needless pair at most. Pairs in which either title lacks more of the other's
-    words than `title_similarity` lets misspelling, a cut or a part explain are left out
-    before the texts are fetched.
+    Each form brings digests of its words less none, one or two, so only forms
+    that are nearly alike meet, and their number follows that of the forms;
+    equal digests of different words bring a needless pair at most.
     """
-    bits = "aggregate(w, 0L, (a, x) -> a | IF(pmod(x div 64, 2) = {}, shiftleft(1L, CAST(pmod(x, 64) AS INT)), 0L))"
-
-    # A part's number, or a report's, can be written in two ways and misspelt, which touches two words.
-    last = F.substring_index("form", " ", -1)
-    part = F.when(last.isin(*_NUMERALS) | F.expr(" OR ".join(f"levenshtein(substring_index(form, ' ', -1), '{w}', 2) BETWEEN 0 AND 2" for w in _REPORT_WORDS)), 2).otherwise(0)
 
     def numbered(forms: DataFrame) -> DataFrame:
-        own = forms.select("form", F.monotonically_increasing_id().alias("id"), F.expr("transform(array_distinct(split(form, ' ')), x -> xxhash64(x))").alias("w"))
-        return written(own.select("form", "id", "w", F.expr(bits.format(0)).alias("b0"), F.expr(bits.format(1)).alias("b1"), F.size("w").alias("n"), part.alias("p")))
+        own = forms.select("form", F.monotonically_increasing_id().alias("id"), F.expr("array_sort(transform(array_distinct(split(form, ' ')), x -> xxhash64(x)))").alias("w"))
+        return written(own.where(F.size("w").between(3, LEFT_OUT_WORDS)))
 
     left, right = numbered(entries), numbered(records)
-    uses = written(right.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("uses")))
+    each = right.select("id", F.explode("w").alias("word"))
+    uses = each.groupBy("word").agg(F.count("*").alias("uses"))
+    rarest = each.join(uses, "word").groupBy("id").agg(F.array_sort(F.collect_list("word")).alias("w"), F.min_by("word", F.struct("uses", "word")).alias("kept"))
 
-    def keys(own: DataFrame, most: int) -> DataFrame:
-        each = own.select("id", "b0", "b1", "n", "p", F.explode("w").alias("word")).join(uses, "word")
-        rarest = each.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("uses", "word"))), 1, most).alias("w"), *[F.first(c).alias(c) for c in ("b0", "b1", "n", "p")])
-        words = F.array_sort(F.col("w.word"))
-        pairs = F.flatten(F.transform(words, lambda a: F.transform(F.filter(words, lambda b: b > a), lambda b: F.xxhash64(a, b))))
-        return rarest.select("id", "b0", "b1", "n", "p", F.explode(pairs).alias("key"))
+    def keys(own: DataFrame, kept: str) -> DataFrame:
+        one = "transform(w, a -> xxhash64(filter(w, x -> x <> a)))"
+        two = f"flatten(transform({kept}, a -> transform(filter({kept}, b -> b > a), b -> xxhash64(filter(w, x -> x <> a AND x <> b)))))"
+        return own.select("id", F.explode(F.array_distinct(F.expr(f"concat(array(xxhash64(w)), {one}, {two})"))).alias("key"))
 
-    met = keys(left, RARE + 1).join(keys(right, RARE).withColumnsRenamed({"id": "id_b", "b0": "c0", "b1": "c1", "n": "m", "p": "q"}), "key")
-    lacking = "least(bit_count(b0 & ~c0) + bit_count(b1 & ~c1), bit_count(c0 & ~b0) + bit_count(c1 & ~b1))"
-    pairs = met.where(f"{lacking} <= greatest(3, (least(n, m) + 1) div 3) + greatest(p, q)").select("id", "id_b").distinct()
-    return pairs.join(left.select("id", "form"), "id").join(right.select(F.col("id").alias("id_b"), F.col("form").alias("form_b")), "id_b").select("form", "form_b")
+    met = keys(left, "w").join(keys(rarest, "filter(w, k -> k <> kept)").withColumnRenamed("id", "id_b"), "key").select("id", "id_b").distinct()
+    return met.join(left.select("id", "form"), "id").join(right.select(F.col("id").alias("id_b"), F.col("form").alias("form_b")), "id_b").select("form", "form_b")
 
 
 def comparable(df: DataFrame, id_col: str) -> DataFrame:
@@ -424,9 +415,9 @@ def matches(citations: DataFrame, registry: DataFrame) -> DataFrame:
     rest = nodes.join(equal.select("form", "authors", "year").distinct(), ["form", "authors", "year"], "left_anti")
     # One row per form on either side: however many authors and years a form comes with, it takes one place in the window.
     pairs = sorted_neighbourhood(_spans(rest, 0).unionByName(_spans(records, 1)), cross=True)
-    # However many forms lie between an entry's and the record's, rare words in common bring them together; every variant of an entry's form meets what any of them met.
+    # However many forms lie between an entry's and the record's, the words they share bring them together; every variant of an entry's form meets what any of them met.
     forms = written(rest.select("form").distinct())
-    shared = rare_pairs(forms, held.select("form").distinct()).mapInPandas(alike, "form string, form_b string")
+    shared = left_out_pairs(forms, held.select("form").distinct()).mapInPandas(alike, "form string, form_b string")
     met = pairs.select(F.col("form_a").alias("form"), "form_b").unionByName(shared).distinct()
     near = met.join(rest, "form").join(held.withColumnRenamed("form", "form_b"), "form_b").mapInPandas(score, scored)
     every = equal.unionByName(near)
